@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 
 QUERIES = {
     "op4_language_id": op4_language_id,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_ngram_jaccard_join": OP10_SQL,
+}
