@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .language_id import op4_language_id
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
+from .suffix_dedup import OP8_SQL, op8_suffix_dedup
 
 QUERIES = {
     "op4_language_id": op4_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_suffix_dedup": OP8_SQL,
     "op10_ngram_jaccard_join": OP10_SQL,
 }
