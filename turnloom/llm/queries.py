@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .language_id import op4_language_id
+from .mixing import op1_mix_sources
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
+from .packing import op3_best_fit_packing
 from .suffix_dedup import OP8_SQL, op8_suffix_dedup
+from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_token_counts": op2_token_counts,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,

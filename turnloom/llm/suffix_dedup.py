@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def _segments(docs: DataFrame, occurrences: DataFrame, least: int) -> DataFrame:
                 own = _text_hash(h, w.first)
                 lists = part.column(2)
                 values = lists.flatten()
-                size = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+                size = np.asarray(pc.list_value_length(lists)).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), size)
                 text, start, windows, anchor, content = [np.asarray(c) for c in values.flatten()]
                 mine = np.flatnonzero(own[row].astype(np.int64) == text)
