@@ -2,7 +2,9 @@
 
 Jaccard distance is a metric.  The join works in pivot regions of that space:
 
-1. Every document takes part in the regions of its rarest n-grams: as many as a pair at or above
+0. A document can have a partner only if most of its n-grams occur in other documents; the others
+   are settled by counting, over all documents, which n-grams two or more share.
+1. Every remaining document takes part in the regions of its rarest n-grams: as many as a pair at or above
    the threshold must share one of (``size - ceil(t * size) + 1``).  Rarity is counted over all
    documents, in a table of fixed size; any order gives the same pairs.
 2. The documents of an n-gram's region are tied to one of them, its pivot.  Regions with the same
@@ -28,17 +30,17 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Packer, cut, partitions, table
+from .common import BLOCK, Packer, cut, partitions, table, unpack
 from .textbatch import Words, gram_positions, grams, mix, order_by_hash, ranges, runs, slices, words
 
-N, THRESHOLD = 3, 0.7
+N, THRESHOLD = 5, 0.5
 #: Slots of the table of n-gram counts, which is sent to all tasks: 4 MB at any size.
 COUNT_SLOTS = 1 << 20
 #: Sets a task joins at once, and the size from which cells are split by pivots.
@@ -46,7 +48,9 @@ REGION_ROWS, CELL_ROWS, PIVOTS = 4096, 512, 8
 #: Keys of the filter of candidate sets that is sent to all tasks; beyond, all sets are joined instead.
 FILTER_KEYS = 8_000_000
 _SIG = np.dtype([("gram", "<u4"), ("set", "<u8")])
-_MEMBER = np.dtype([("set", "<u8"), ("doc", "<i8")])
+_INFO = np.dtype([("doc", "<i8"), ("set", "<u8"), ("size", "<u4")])
+#: n-grams of a batch of documents, roughly.
+BATCH_GRAMS = 1 << 20
 
 
 def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,80 +118,174 @@ def _gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-def _links(docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """kind 0: set a is tied to pivot set b; kind 1: document b has set a."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(_gram_counts(docs, n))
-    buckets = partitions(spark)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = held.value
-        signatures, members = Packer(_SIG, buckets), Packer(_MEMBER, buckets, 4 << 20)
+def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, set, size and how many of the set's n-grams another document has too.
 
-        def kinds(parts: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
-            for p in parts:
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(np.full(p.num_rows, kind, np.int32))], names=["bucket", "body", "kind"])
+    n-grams go to tasks by hash, in batches of documents; back come, for each batch, the places of
+    the documents that hold an n-gram of two or more.  A document whose n-grams are mostly its own
+    has no partner, so that nothing more than this count is ever done for it.
+    """
+    buckets = partitions(docs.sparkSession)
+    schema = "bucket int, batch bigint, kind int, body binary"
+
+    def rows(bucket: list[int], batch: int, kind: int, body: list[bytes]) -> pa.RecordBatch:
+        k = len(bucket)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([batch] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "batch", "kind", "body"])
+
+    def send(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        doc, which, size, value = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        batch = int(mix(np.array([np.bitwise_xor.reduce(mix(which + np.arange(len(doc), dtype=np.uint64) + mix(doc.view(np.uint64))))], dtype=np.uint64)).view(np.int64)[0])
+        info = np.empty(len(doc), dtype=_INFO)
+        info["doc"], info["set"], info["size"] = doc, which, size
+        yield rows([abs(batch) % buckets], batch, 0, [info.tobytes()])
+        place = np.repeat(np.arange(len(doc), dtype=np.uint16), size)
+        bucket = ((value >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        value, place = (value[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), place[order]
+        some = np.flatnonzero(np.diff(bounds)).tolist()
+        for k in range(0, len(some), 64):
+            yield rows(some[k : k + 64], batch, 1, [value[bounds[b] : bounds[b + 1]].tobytes() + place[bounds[b] : bounds[b + 1]].tobytes() for b in some[k : k + 64]])
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, grams_held, docs_held = [], 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 value, bounds = _sets(words(part.column(1)), n)
-                which = _set_hash(value, bounds)
-                size = np.diff(bounds)
-                doc = np.asarray(part.column(0))
-                some = size > 0
-                record = np.empty(int(some.sum()), dtype=_MEMBER)
-                record["set"], record["doc"] = which[some], doc[some]
-                yield from kinds(members.add(mix(record["set"]), record), 1)
-                rarity = (count[(value % np.uint64(COUNT_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
-                chosen = []
-                for r in np.flatnonzero(some):
-                    lo, hi = bounds[r], bounds[r + 1]
-                    take = hi - lo - math.ceil(threshold * (hi - lo) - 1e-9) + 1
-                    at = np.argpartition(rarity[lo:hi], take - 1)[:take] if take < hi - lo else np.arange(hi - lo)
-                    # equal rarity keys at the cut: all of them, so that every set cuts alike
-                    edge = rarity[lo:hi][at].max()
-                    chosen.append(lo + np.flatnonzero(rarity[lo:hi] <= edge))
-                if chosen:
-                    at = np.concatenate(chosen)
-                    record = np.empty(len(at), dtype=_SIG)
-                    record["gram"] = (value[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    record["set"] = np.repeat(which[some], [len(c) for c in chosen])
-                    yield from kinds(signatures.add(value[at], record), 0)
-        yield from kinds(signatures.flush(), 0)
-        yield from kinds(members.flush(), 1)
+                for lo in range(0, part.num_rows, 1 << 14):
+                    hi = min(part.num_rows, lo + (1 << 14))
+                    if parts and docs_held + hi - lo > 1 << 16:
+                        yield from send(parts)
+                        parts, grams_held, docs_held = [], 0, 0
+                    b = bounds[lo : hi + 1]
+                    parts.append((np.asarray(part.column(0))[lo:hi], _set_hash(value, b), np.diff(b), value[b[0] : b[-1]]))
+                    grams_held, docs_held = grams_held + int(b[-1] - b[0]), docs_held + hi - lo
+                if grams_held > BATCH_GRAMS:
+                    yield from send(parts)
+                    parts, grams_held, docs_held = [], 0, 0
+        if parts:
+            yield from send(parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, values, places = [], [], []
+        for got in batches:
+            for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
+                if kind == 0:
+                    yield rows([0], batch, 0, [body])
+                else:
+                    k = len(body) // 6
+                    names.append(batch)
+                    values.append(np.frombuffer(body, np.uint32, k))
+                    places.append(np.frombuffer(body, np.uint16, k, 4 * k))
+        if not names:
+            return
+        value = np.concatenate(values)
+        order = order_by_hash(value.astype(np.uint64) << np.uint64(32))
+        bounds = runs(value[order])
+        many = np.diff(bounds) > 1
+        shared = np.zeros(len(value), dtype=bool)
+        shared[order[ranges(bounds[:-1][many], np.diff(bounds)[many])]] = True
+        at = 0
+        for batch, place in zip(names, places, strict=True):
+            mine = place[shared[at : at + len(place)]]
+            at += len(place)
+            if len(mine):
+                yield rows([0], batch, 1, [mine.tobytes()])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info: dict[int, np.ndarray] = {}
+        count: dict[int, np.ndarray] = {}
+        for got in batches:
+            for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
+                if kind == 0:
+                    info[batch] = np.frombuffer(body, _INFO)
+                else:
+                    c = np.bincount(np.frombuffer(body, np.uint16), minlength=1 << 16)
+                    count[batch] = count[batch] + c if batch in count else c
+        for batch, rows_ in info.items():
+            got = count.get(batch, np.zeros(1 << 16, np.int64))[: len(rows_)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (rows_["doc"], rows_["set"].view(np.int64), rows_["size"].astype(np.int64), got)], names=["doc_id", "set", "size", "shared"])
+
+    sent = docs.mapInArrow(emit, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, schema)
+    back = sent.repartition(buckets, "batch").mapInArrow(add, "doc_id bigint, set bigint, size bigint, shared bigint")
+    return cut(back.where("set <> 0"))
+
+
+def _key(which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(which ^ mix(doc.view(np.uint64)))
+
+
+def _bits(wanted: DataFrame) -> np.ndarray | None:
+    """A filter of (set, rep), if there are few enough to send it to all tasks."""
+    if wanted.limit(FILTER_KEYS + 1).count() > FILTER_KEYS:
+        return None
+    rows = wanted.select("set", "rep").toArrow()
+    return _filter_bits(_key(rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()))
+
+
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, make: Callable, schema: str) -> DataFrame:
+    """What ``make`` yields from (set hashes, doc ids, n-grams of each) of the wanted (set, rep).
+
+    A few documents that aren't wanted may be among them.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+
+        def sets() -> Iterator[tuple]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    value, bounds = _sets(words(part.column(1)), n)
+                    which, doc = _set_hash(value, bounds), np.asarray(part.column(0))
+                    keep = np.flatnonzero((np.diff(bounds) > 0) & _passes(bits, _key(which, doc)))
+                    if len(keep):
+                        yield which[keep], doc[keep], [value[bounds[r] : bounds[r + 1]] for r in keep]
+
+        yield from make(sets())
+
+    return docs.mapInArrow(run, schema)
+
+
+def _links(docs: DataFrame, wanted: DataFrame, threshold: float, n: int) -> DataFrame:
+    """set is tied to the pivot set of one of its rarest n-grams."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(_gram_counts(docs, n))
+    buckets = partitions(spark)
+
+    def emit(sets: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(_SIG, buckets)
+        for which, _, values in sets:
+            for one, value in zip(which, values, strict=True):
+                rarity = (held.value[(value % np.uint64(COUNT_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
+                take = len(value) - math.ceil(threshold * len(value) - 1e-9) + 1
+                # of equal rarity at the cut all, so that every set cuts alike
+                value = value[rarity <= np.partition(rarity, take - 1)[take - 1]] if take < len(value) else value
+                record = np.empty(len(value), dtype=_SIG)
+                record["gram"] = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                record["set"] = one
+                yield from packer.add(value, record)
+        yield from packer.flush()
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for batch in batches:
-            for body, kind in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts[kind].append(np.frombuffer(body, dtype=_MEMBER if kind else _SIG))
-        if parts[1]:
-            record = np.concatenate(parts[1])
-            yield _pairs_batch(1, record["set"].view(np.int64), record["doc"])
-        if parts[0]:
-            record = np.concatenate(parts[0])
-            parts.clear()
-            gram, sets = record["gram"], record["set"]
-            order = order_by_hash(gram.astype(np.uint64) << np.uint64(32))
-            bounds = runs(gram[order])
-            long = np.diff(bounds) > 1
-            at = order[ranges(bounds[:-1][long], np.diff(bounds)[long])]
-            run = np.repeat(np.arange(int(long.sum())), np.diff(bounds)[long])
-            sets = sets[at]
-            order = np.lexsort((sets, run))
-            run, sets = run[order], sets[order]
-            pivot = sets[runs(run)[:-1]][run] if len(run) else sets
-            other = pivot != sets
-            links = np.unique(np.stack((sets[other], pivot[other]), axis=1), axis=0)
-            for k in range(0, len(links), 1 << 16):
-                yield _pairs_batch(0, links[k : k + (1 << 16), 0].view(np.int64), links[k : k + (1 << 16), 1].view(np.int64))
-
-    blocks = docs.mapInArrow(emit, BLOCK + ", kind int").repartitionById(buckets, F.col("bucket"))
-    return cut(blocks.mapInArrow(tie, "kind int, a bigint, b bigint"))
-
-
-def _pairs_batch(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+        record = unpack(batches, _SIG)
+        gram, sets = record["gram"], record["set"]
+        order = order_by_hash(gram.astype(np.uint64) << np.uint64(32))
+        bounds = runs(gram[order])
+        long = np.diff(bounds) > 1
+        at = order[ranges(bounds[:-1][long], np.diff(bounds)[long])]
+        run = np.repeat(np.arange(int(long.sum())), np.diff(bounds)[long])
+        sets = sets[at]
+        order = np.lexsort((sets, run))
+        run, sets = run[order], sets[order]
+        pivot = sets[runs(run)[:-1]][run] if len(run) else sets
+        other = pivot != sets
+        links = np.unique(np.stack((sets[other], pivot[other]), axis=1), axis=0).view(np.int64)
+        for k in range(0, len(links), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[k : k + (1 << 16), c])) for c in (0, 1)], names=["set", "pivot"])
+
+    blocks = _wanted_sets(docs, wanted, n, emit, BLOCK).repartitionById(buckets, F.col("bucket"))
+    return cut(blocks.mapInArrow(tie, "set bigint, pivot bigint").distinct())
 
 
 def _filter_bits(keys: np.ndarray) -> np.ndarray:
@@ -205,26 +303,9 @@ def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return bits[(keys & low).astype(np.int64)] & bits[((keys >> np.uint64(32)) & low).astype(np.int64)]
 
 
-def _candidate_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """set, doc_id and grams of the documents whose set is needed (or may be)."""
-    bits = None
-    if needed.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
-        keys = needed.toArrow().column(0).to_numpy().view(np.uint64)
-        bits = _filter_bits(mix(keys))
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                value, bounds = _sets(words(part.column(1)), n)
-                which = _set_hash(value, bounds)
-                keep = np.flatnonzero((np.diff(bounds) > 0) & _passes(bits, mix(which)))
-                if len(keep):
-                    bodies = [value[bounds[r] : bounds[r + 1]].tobytes() for r in keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(which[keep].view(np.int64)), part.column(0).take(pa.array(keep)), pa.array(bodies, pa.binary())], names=["set", "rep", "grams"])
-
-    return docs.mapInArrow(run, "set bigint, rep bigint, grams binary")
+def _bodies(sets: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for which, doc, values in sets:
+        yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(doc), pa.array([v.tobytes() for v in values], pa.binary())], names=["set", "rep", "grams"])
 
 
 class _Region:
@@ -354,10 +435,13 @@ def _region_pairs(members: DataFrame, threshold: float) -> DataFrame:
 def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard) of distinct n-gram sets, a < b, and the members (set, doc_id)."""
     docs = _ids(docs)
-    links = _links(docs, threshold, n)
-    members = links.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct()
-    edges = links.where("kind = 0").select("a", "b").distinct()
-    tied = edges.select(F.col("a").alias("set"), F.col("b").alias("pivot")).union(edges.select(F.col("b").alias("set"), F.col("b").alias("pivot")).distinct())
+    counted = _shared_counts(docs, n)
+    members = counted.select("set", "doc_id").distinct()
+    # the documents a partner of which must have most of their n-grams; copies by the least id
+    rep = counted.where(F.col("shared") >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9)).groupBy("set").agg(F.min("doc_id").alias("rep"))
+    rep = cut(rep)
+    edges = _links(docs, rep, threshold, n)
+    tied = edges.union(edges.select("pivot", "pivot").distinct())
     blocks = F.ceil(F.col("rows") / REGION_ROWS * 2).cast("int")
     large = tied.groupBy("pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS).select("pivot", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
@@ -367,9 +451,8 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
         .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
     )
-    rep = members.groupBy("set").agg(F.min("doc_id").alias("rep"))
-    needed = tied.select("set").distinct()
-    sets = _candidate_sets(docs, needed, n)
+    needed = rep.join(tied.select("set").distinct(), "set", "left_semi")
+    sets = _wanted_sets(docs, needed, n, _bodies, "set bigint, rep bigint, grams binary")
     rows = tied.join(rep, "set").join(sets, ["set", "rep"]).select("pivot", "i", "j", "set", "grams")
     rows = rows.repartition(partitions(docs.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     return cut(_region_pairs(rows, threshold).dropDuplicates(["a", "b"])), members
@@ -431,8 +514,8 @@ WITH w AS (
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, gram FROM (
-    SELECT doc_id, unnest(CASE WHEN len(words) >= 3
-      THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(words) >= 5
+      THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))
       ELSE [array_to_string(words, ' ')] END) AS gram
     FROM w WHERE len(words) > 0)
 ), size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
@@ -442,5 +525,5 @@ shared AS (
 )
 SELECT doc_a, doc_b, round(k / (x.n + y.n - k), 6) AS jaccard
 FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b
-WHERE k / (x.n + y.n - k) >= 0.7 - 1e-9
+WHERE k / (x.n + y.n - k) >= 0.5 - 1e-9
 """
