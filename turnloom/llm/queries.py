@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .katz import op9_katz_scoring
 from .language_id import op4_language_id
+from .licenses import op6_license_scan
 from .mixing import op1_mix_sources
 from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .packing import op3_best_fit_packing
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op6_license_scan": op6_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_katz_scoring": op9_katz_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

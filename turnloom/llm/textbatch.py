@@ -74,6 +74,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    between: np.ndarray
+    value: np.ndarray
 
     @property
     def rows(self) -> int:
@@ -94,18 +96,19 @@ class Words:
         place = np.arange(len(span), dtype=np.int64)
         begins = self.start - lo
         place -= np.repeat(begins, np.diff(np.append(begins, len(span))))
-        value = _BYTE[span]
-        value[IS_SPACE[span]] = 0
+        value = self.value[span]
+        value[self.between[span]] = 0
         value *= _PLACE[place & 0xFFFF]
         total = np.add.reduceat(value, begins)
         return mix(total + (self.end - self.start).astype(np.uint64) * _GRAM[63])
 
 
-def words(text: pa.Array) -> Words:
+def words(text: pa.Array, between: np.ndarray = IS_SPACE, value: np.ndarray = _BYTE) -> Words:
+    """Words, parted by the bytes of ``between``; ``value`` is what a byte adds to a word's hash."""
     data, offsets = raw(text)
     if not len(data):
-        return Words(data, offsets, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    space = IS_SPACE[data]
+        return Words(data, offsets, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), between, value)
+    space = between[data]
     begin = ~space
     begin[1:] &= space[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -115,7 +118,7 @@ def words(text: pa.Array) -> Words:
     last = offsets[1:][offsets[1:] > 0] - 1
     stop[last] = ~space[last]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return Words(data, offsets, start, end, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets), between, value)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -184,3 +187,15 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     base = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count)
     return np.arange(total, dtype=np.int64) + base
+
+
+_NOT_ALNUM = np.ones(256, dtype=bool)
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+    _NOT_ALNUM[_c] = False
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
+
+
+def alnum_words(text: pa.Array) -> Words:
+    """Runs of ASCII letters and digits; their hashes don't depend on case."""
+    return words(text, _NOT_ALNUM, _FOLDED)
