@@ -1,4 +1,6 @@
 """All queries of the library's own operators, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import timeline  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
