@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, shared_folder, table
+from .common import cut, partitions, shared_folder, table
 from .textbatch import mix, slices, words
 
 BLOCK, SHARD, SEED = 512, 1024, 17
+#: Rows of the table of index offsets that are broadcast at most, 40 bytes each; beyond, it is joined.
+OFFSET_ROWS = 1_000_000
 
 
 class Pieces:
@@ -181,12 +183,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     """
     spark = docs.sparkSession
     blocks = _blocks(docs, block, carry)
-    per_part = blocks.groupBy("source", "part").agg(F.count("*").alias("blocks"))
+    per_part = cut(blocks.groupBy("source", "part").agg(F.count("*").alias("blocks")))
     before = F.sum("blocks").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_part.withColumn("offset", F.coalesce(before, F.lit(0))).select("source", "part", "offset")
+    # a row a task and source: sent to all tasks while that is small, so that blocks move only once
+    offsets = F.broadcast(offsets) if per_part.count() <= OFFSET_ROWS else offsets
     indexed = blocks.join(offsets, ["source", "part"]).withColumn("block_index", F.col("offset") + F.col("local")).drop("offset", "part", "local")
 
-    sizes = {r.source: r.n for r in blocks.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.source: r.n for r in per_part.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
     names = sorted(s for s in sizes if weights is None or weights.get(s, 0) > 0)
     p = np.array([1.0 if weights is None else float(weights[s]) for s in names])
     p = p / p.sum() if len(p) else p
