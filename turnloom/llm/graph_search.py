@@ -149,6 +149,10 @@ def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD
     def make(data: pd.DataFrame) -> pd.DataFrame:
         data = data.sort_values("vec_id", kind="stable")
         v = np.stack(data["v"].to_numpy()).astype(np.float32)
+        # repeated rows are one vertex; all rows of an id are in one shard
+        _, once = np.unique(np.column_stack((data["vec_id"].to_numpy(np.int64).view(np.uint8).reshape(len(v), 8), v.view(np.uint8))), axis=0, return_index=True)
+        once.sort()
+        data, v = data.iloc[once], v[once]
         graph, start = build(v)
         return pd.DataFrame({"shard": [int(data["shard"].iloc[0])], "vec_id": [0], "v": [[]], "extra": [np.array([len(v), v.shape[1], graph.shape[1], start], np.int64).tobytes() + data["vec_id"].to_numpy(np.int64).tobytes() + v.tobytes() + graph.tobytes()]})
 
@@ -169,8 +173,8 @@ def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD
             p = part.slice(lo, BATCH)
             q_id, q = np.asarray(p.column(0)), matrix(p.column(1))
             found, _ = beam_search(v, norm, graph, start, q.astype(np.float32), max(beam, k + 1))
-            found = found[:, : k + 1]
-            row, place = np.nonzero((found >= 0) & (ids[np.maximum(found, 0)] != q_id[:, None]))
+            other = (found >= 0) & (ids[np.maximum(found, 0)] != q_id[:, None])
+            row, place = np.nonzero(other & (np.cumsum(other, axis=1) <= k))
             hit = found[row, place]
             exact = np.sqrt(((v[hit].astype(float) - q[row]) ** 2).sum(axis=1))
             yield neighbours(q_id[row], ids[hit], np.round(exact, 6))
