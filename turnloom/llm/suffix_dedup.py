@@ -293,7 +293,7 @@ def remove_duplicates(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
     ``n_chars``, if there, is the new length.  Rows of which nothing but white space is left go.
     """
     gone = repeated_spans(docs, least, anchor).where("duplicate").groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "start_word", "n_words")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["__doc"], "left").drop("__doc")
+    joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["__doc"], "left").drop(gone["__doc"])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +303,7 @@ def remove_duplicates(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR)
                 spans = part.column(part.num_columns - 1).to_pylist()
                 some = [r for r, s in enumerate(spans) if s]
                 text = part.column(at)
-                out = part.select(names)
+                out = part.select(list(range(len(names))))
                 if some:
                     subset = text.take(pa.array(some))
                     w = words(subset)
