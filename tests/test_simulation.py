@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnloom import pipeline
 from turnloom.functions import rng
 from turnloom.operators import audio, intervals, sampling, signal
+from turnloom.operators import simulate as simulate_module
 from turnloom.operators.simulate import SimConfig, draw, place_utterance, simulate
 from turnloom.sources import views
 from turnloom.streaming import turns as live
@@ -62,6 +63,12 @@ def test_partitioning_does_not_matter(spark):
     assert timelines(spark, config, parts=1) == timelines(spark, config, parts=7)
 
 
+def test_a_library_that_is_joined_gives_the_same(spark, monkeypatch):
+    want = timelines(spark, SimConfig(), 15)
+    monkeypatch.setattr(simulate_module, "BROADCAST_CUTS", 3)
+    assert timelines(spark, SimConfig(), 15) == want
+
+
 def test_one_speaker_always_holds(spark):
     for meeting in timelines(spark, SimConfig(min_max_spk=(1, 1)), 5).values():
         assert len({r.speaker for r in meeting}) == 1
@@ -197,7 +204,8 @@ def test_live_merge_equals_the_batch(spark, tmp_path):
 
 def test_live_types_keep_state_between_batches(spark, tmp_path):
     day = datetime.date(2024, 1, 1)
-    for part in ([(0, day, 0, 0, 0, 5_000_000)], [(1, day, 1, 0, 4_000_000, 500_000)], [(2, day, 1, 0, 6_000_000, 500_000)]):
+    t = 1_704_067_200_000_000  # rows at the epoch itself would be late, as a watermark begins there
+    for part in ([(0, day, 0, 0, t, 5_000_000)], [(1, day, 1, 0, t + 4_000_000, 500_000)], [(2, day, 1, 0, t + 6_000_000, 500_000)]):
         spark.createDataFrame(part, SEGMENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     run = live.turn_types_live(stream).writeStream.format("memory").queryName("types_live").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()

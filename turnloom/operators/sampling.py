@@ -117,3 +117,12 @@ def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceilin
 def direct_path_delay(distance: Column, rate: int = 16000) -> Column:
     """Samples that sound takes from source to microphone."""
     return F.floor(distance * rate / SOUND + 0.5).cast("bigint")
+
+
+def weighted_mix(rows: DataFrame, corpus: str, weights: dict, seed: int, key: str) -> DataFrame:
+    """Rows of several corpora in proportion to their weights: those of the greatest weight all stay."""
+    top = max(weights.values())
+    chance = F.lit(0.0)
+    for name, weight in weights.items():
+        chance = F.when(F.col(corpus) == name, weight / top).otherwise(chance)
+    return rows.where(uniform(seed, key, F.lit("mix")) < chance)

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import sampling
 from .turns import BACKCHANNEL, HOLD, INTERRUPTION, SWITCH
 
+#: Cuts of a library that is broadcast, at most.
+BROADCAST_CUTS = 5_000_000
 SCHEMA = "meeting bigint, step int, speaker bigint, cut_id string, type int, start_us bigint, dur_us bigint"
 
 
@@ -136,17 +140,32 @@ def meeting_rows(meeting: int, library: dict[int, list[tuple[str, int]]], c: Sim
 def simulate(meetings: DataFrame, library: DataFrame, config: SimConfig) -> DataFrame:
     """Timelines of the meetings from the cuts (speaker, cut_id, dur_us) of a library.
 
-    The library goes to all tasks: a row a cut, 24 bytes or so, checked against a bound.
+    A library of up to BROADCAST_CUTS cuts, some 50 bytes each, goes to all tasks.  A larger one
+    is joined: each meeting gets the cuts of its own speakers.  The result is the same.
     """
-    spark = meetings.sparkSession
-    rows = library.select("speaker", "cut_id", "dur_us").orderBy("speaker", "cut_id").limit(20_000_001).toPandas()
-    if len(rows) > 20_000_000:
-        raise ValueError("draw a library of at most 20 million cuts first, such as with sampling.sample_library")
-    held = spark.sparkContext.broadcast({int(s): list(zip(g["cut_id"], g["dur_us"].astype(int), strict=True)) for s, g in rows.groupby("speaker")})
+    cuts = library.select("speaker", "cut_id", "dur_us")
+    if cuts.limit(BROADCAST_CUTS + 1).count() > BROADCAST_CUTS:
+        return _simulate_joined(meetings, cuts, config)
+    rows = cuts.orderBy("speaker", "cut_id").toPandas()
+    held = meetings.sparkSession.sparkContext.broadcast({int(s): list(zip(g["cut_id"], g["dur_us"].astype(int), strict=True)) for s, g in rows.groupby("speaker")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [r for m in batch["meeting"] for r in meeting_rows(int(m), held.value, config)]
-            yield pd.DataFrame(out, columns=["meeting", "step", "speaker", "cut_id", "type", "start_us", "dur_us"])
+            yield _frame(r for m in batch["meeting"] for r in meeting_rows(int(m), held.value, config))
 
     return meetings.select("meeting").mapInPandas(run, SCHEMA)
+
+
+def _frame(rows: Iterable[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["meeting", "step", "speaker", "cut_id", "type", "start_us", "dur_us"])
+
+
+def _simulate_joined(meetings: DataFrame, cuts: DataFrame, config: SimConfig) -> DataFrame:
+    chosen = sampling.speakers(meetings, cuts, config.seed, *config.min_max_spk).select("meeting", "speaker")
+    own = cuts.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("cut_id", "dur_us"))).alias("cuts"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        library = {int(s): [(c["cut_id"], int(c["dur_us"])) for c in cuts] for s, cuts in zip(rows["speaker"], rows["cuts"], strict=True)}
+        return _frame(meeting_rows(int(key[0]), library, config))
+
+    return chosen.join(own, "speaker").groupBy("meeting").applyInPandas(run, SCHEMA)

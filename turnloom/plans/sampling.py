@@ -207,3 +207,8 @@ def speech_levels(spark: SparkSession, d: str) -> DataFrame:
 @query("min_speech_level", f"WITH RECURSIVE {SIM} SELECT meeting, min({LEVEL}) AS level_db FROM sim GROUP BY meeting")
 def min_speech_level(spark: SparkSession, d: str) -> DataFrame:
     return S.levels(_simulated(spark, d), SEED, CONFIG.base_gain, CONFIG.rel_gain).groupBy("meeting").agg(F.min("level_db").alias("level_db"))
+
+
+@query("weighted_mix", f"""WITH {SEGMENTS} SELECT id, speaker FROM v_segments WHERE {U('id', "'mix'")} < CASE speaker WHEN 0 THEN 3.0 / 3 WHEN 1 THEN 3.0 / 3 WHEN 2 THEN 1.0 / 3 ELSE 0.0 END""")
+def weighted_mix(spark: SparkSession, d: str) -> DataFrame:
+    return S.weighted_mix(views.segments(spark, d), "speaker", {0: 3, 1: 3, 2: 1}, SEED, "id").select("id", "speaker")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import pick, uniform, uniform_sql
-from ..operators import audio, signal
+from ..operators import audio, render, signal
+from ..operators import sampling as S
+from ..operators.simulate import simulate
 from ..sources import views
 from .registry import SIGNALS, query
-from .sampling import SEED, _rooms
+from .sampling import CONFIG, SEED, _library, _rooms
 
 TAPS = signal.fir_highpass()
 RMS = "sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))"
@@ -194,3 +196,21 @@ def euclid(spark: SparkSession, d: str) -> DataFrame:
     target = F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3))
     squares = F.zip_with(F.slice("x", 1, 3), target, lambda a, b: (a - b) * (a - b))
     return views.signals(spark, d).select("sig_id", F.round(F.sqrt(signal.total(squares)), 6).alias("distance"))
+
+
+@query("render_meetings")
+def render_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated meetings rendered at one level an utterance: samples, peak and RMS of each, after the peak guard.
+
+    An utterance's signal is repeated to its duration at 100 Hz; tests compare with whole arrays.
+    """
+    timeline = simulate(views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("meeting")), _library(spark, d), CONFIG)
+    level = S.levels(timeline, SEED, CONFIG.base_gain, CONFIG.rel_gain)
+    sources = views.signals(spark, d)
+    n = sources.count()
+    named = timeline.join(level, ["meeting", "step"]).withColumn("sig_id", F.pmod(F.col("cut_id").cast("bigint"), F.lit(max(1, n))))
+    x = named.join(sources.drop("speaker"), "sig_id")
+    length = F.greatest(F.floor(F.col("dur_us") / 10_000), F.lit(1)).cast("int")
+    tone = F.transform(F.sequence(F.lit(1), length), lambda i: F.element_at("x", (F.pmod(i, F.size("x")) + 1).cast("int")))
+    parts = x.select("meeting", "speaker", F.floor(F.col("start_us") / 10_000).alias("offset"), signal.normalize(signal.dc_remove(tone), F.col("level_db")).alias("x"))
+    return render.loudness(render.guard(render.mix_chunks(parts, ["meeting"], 4096), "meeting"), "meeting").select("meeting", "n", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"))
