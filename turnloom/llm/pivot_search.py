@@ -4,8 +4,8 @@ Distances to many pivots are stored with each vector.  The largest difference be
 and a candidate's distance to a pivot is a lower bound of theirs.  Shards hold the vectors that
 share a nearest pivot, with the range of distances to each pivot.  A query first searches its own
 shard, which bounds its k-th distance, then only the shards whose ranges allow something nearer.
-Within a shard candidates are evaluated in the order of their bounds until the next bound exceeds
-the k-th distance found so far.
+Within a shard the candidates of least bound are evaluated first, then the others whose bounds
+don't exceed the k-th distance found so far.
 
 Distances are rounded to six decimals; of equal ones the lower id is nearer.
 
@@ -30,7 +30,7 @@ from .common import cut, table
 from .vectors import NEIGHBOURS, best, matrix, neighbours, stream, usable
 
 K, PIVOTS, SHARD_ROWS = 10, 32, 8192
-#: Rows that pivots are chosen among, and candidates that are evaluated at once.
+#: Rows that pivots are chosen among, and candidates that are evaluated first.
 PIVOT_SAMPLE, STEP = 2048, 64
 _EPS = 2e-6
 
@@ -58,44 +58,69 @@ def to_pivots(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def search(q_id: np.ndarray, q: np.ndarray, q_pivot: np.ndarray, ids: np.ndarray, v: np.ndarray, pivot: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, neighbour, distance) of each query's k nearest at most ``limit`` away."""
+    """(query, neighbour, distance) of each query's k nearest at most ``limit`` away.
+
+    The candidates of least bound come first and give a k-th distance; those whose bound exceeds it
+    are eliminated, and the rest, which the order of the bounds would still reach, are evaluated as
+    one product of matrices.  Products only choose: distances come from differences.
+    """
     out_q, out_n, out_d = [], [], []
     table_ = np.ascontiguousarray(pivot.T, dtype=np.float32)
+    square = (v**2).sum(axis=1)
+    first = min(len(v), max(STEP, 2 * k))
     for at in range(0, len(q), 32):
         some = slice(at, at + 32)
-        bound = np.zeros((len(q[some]), len(v)), dtype=np.float32)
+        block = q[some]
+        near = q_pivot[some].astype(np.float32)
+        bound = np.zeros((len(block), len(v)), dtype=np.float32)
+        gap = np.empty_like(bound)
         for p in range(len(table_)):
-            np.maximum(bound, np.abs(table_[p][None, :] - q_pivot[some, p].astype(np.float32)[:, None]), out=bound)
-        for i in range(len(bound)):
-            low = bound[i]
+            np.subtract(table_[p][None, :], near[:, p : p + 1], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(bound, gap, out=bound)
+        bound[ids[None, :] == q_id[some][:, None]] = np.inf
+        least = np.argpartition(bound, first - 1, axis=1)[:, :first] if first < len(v) else np.broadcast_to(np.arange(len(v)), bound.shape)
+        approximate = None
+        for i in range(len(block)):
             kth = limit[at + i]
-            # float32 bounds may be a little high
-            candidate = np.flatnonzero(low <= kth + 1e-5) if np.isfinite(kth) else np.arange(len(v))
-            candidate = candidate[np.argsort(low[candidate], kind="stable")]
-            best_d, best_n = np.zeros(0), np.zeros(0, np.int64)
-            step, lo = STEP, 0
-            while lo < len(candidate) and low[candidate[lo]] <= kth + 1e-5:
-                part = candidate[lo : lo + step]
-                part = part[ids[part] != q_id[at + i]]
-                d = np.round(np.sqrt(((v[part] - q[at + i]) ** 2).sum(axis=1)), 6)
-                d, n = np.concatenate((best_d, d)), np.concatenate((best_n, ids[part]))
-                order = np.lexsort((n, d))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (d[order][1:] != d[order][:-1]) | (n[order][1:] != n[order][:-1])
-                order = order[fresh][:k]
-                best_d, best_n = d[order], n[order]
-                if len(best_d) == k:
-                    kth = min(kth, best_d[-1])
-                lo, step = lo + step, min(step * 2, 2048)
-            keep = best_d <= limit[at + i] + _EPS
+            start = least[i][np.isfinite(bound[i, least[i]])]
+            d, n = _nearest(v[start], ids[start], block[i], k, kth)
+            if len(d) == k:
+                kth = min(kth, d[-1])
+            # float32 bounds may be a little high; what came first may be among the rest again
+            left = np.flatnonzero(bound[i] <= np.float32(min(kth, 3e38)) + 1e-5)
+            if len(left) > len(v) // 8:
+                if approximate is None:
+                    approximate = square[None, :] - 2 * (block @ v.T)
+                reach = approximate[i, left] + (block[i] ** 2).sum()
+                slack = 1e-9 * (1 + (block[i] ** 2).sum())
+                if not np.isfinite(kth):
+                    kth = np.sqrt(max(0.0, np.partition(reach, k - 1)[k - 1]) + slack) if len(left) > k else np.inf
+                    # rows of one id and distance count once, so that more than k may be needed
+                    kth = kth if len(np.unique(ids[left])) == len(left) else np.inf
+                left = left[reach <= (kth + _EPS) ** 2 + slack]
+            d, n = _nearest(v[left], ids[left], block[i], k, kth)
+            keep = d <= limit[at + i] + _EPS
             out_q.append(np.full(int(keep.sum()), q_id[at + i]))
-            out_n.append(best_n[keep])
-            out_d.append(best_d[keep])
+            out_n.append(n[keep])
+            out_d.append(d[keep])
     if not out_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_d)
 
 
+def _nearest(v: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest rows, each pair once."""
+    d = np.round(np.sqrt(((v - q) ** 2).sum(axis=1)), 6)
+    near = np.flatnonzero(d <= limit + _EPS)
+    d, n = d[near], ids[near]
+    order = np.lexsort((n, d))
+    d, n = d[order], n[order]
+    fresh = np.ones(len(d), bool)
+    fresh[1:] = (d[1:] != d[:-1]) | (n[1:] != n[:-1])
+    return d[fresh][:k], n[fresh][:k]
+
+
 def top_k(embeddings: DataFrame, k: int = K, n_pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, neighbour_id, distance and rank: the k nearest others of every vector, exactly."""
     spark = embeddings.sparkSession

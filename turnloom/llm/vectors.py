@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: Queries that a task takes past one shard.
-QUERIES_A_TASK = 16384
+QUERIES_A_TASK = 4096
 NEIGHBOURS = "query_id bigint, neighbour_id bigint, distance double"
 
 
