@@ -90,10 +90,11 @@ def noise_min_len(spark: SparkSession, d: str) -> DataFrame:
     return L.longer_than(views.files(spark, d), 2.0).select("page_id", "n_samples")
 
 
-@query("missing_sources", f"WITH {FILES} SELECT page_id, path FROM v_files WHERE path NOT IN (SELECT path FROM v_files WHERE page_id % 10 <> 0)")
+@query("missing_sources", f"WITH {FILES} SELECT page_id, path FROM v_files WHERE path NOT IN (SELECT path FROM v_files WHERE n_samples / 16000 > 2.0)")
 def missing_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Paths that a listing, here that of the files longer than two seconds, doesn't have."""
     f = views.files(spark, d)
-    there = f.where("page_id % 10 <> 0").select("path")
+    there = L.longer_than(f, 2.0).select("path")
     return f.join(there, "path", "left_anti").select("page_id", "path")
 
 
@@ -148,13 +149,13 @@ def resample_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rir_pairs", """WITH a AS (SELECT page_id, page_id // 5 AS room, 'room_' || page_id // 5 || '/src_' || page_id % 5 || '.flac' AS path FROM pages),
-b AS (SELECT page_id, 'room_' || page_id // 5 || '/src_' || page_id % 5 || '-anechoic.flac' AS path FROM pages WHERE page_id % 3 <> 0)
+b AS (SELECT page_id, 'room_' || page_id // 5 || '/src_' || page_id % 5 || '-anechoic.flac' AS path FROM pages)
 SELECT a.room, a.path, b.path AS anechoic FROM a JOIN b ON replace(a.path, '.flac', '-anechoic.flac') = b.path""")
 def rir_pairs(spark: SparkSession, d: str) -> DataFrame:
     room, src = F.floor(F.col("page_id") / 5), F.col("page_id") % 5
     f = views.files(spark, d).select("page_id", room.alias("room"), F.concat(F.lit("room_"), room, F.lit("/src_"), src).alias("base"))
     a = f.select("room", F.concat("base", F.lit(".flac")).alias("path"))
-    b = f.where("page_id % 3 <> 0").select(F.concat("base", F.lit("-anechoic.flac")).alias("anechoic"))
+    b = f.select(F.concat("base", F.lit("-anechoic.flac")).alias("anechoic"))
     return a.join(b, F.replace(a["path"], F.lit(".flac"), F.lit("-anechoic.flac")) == b["anechoic"]).select("room", "path", "anechoic")
 
 
