@@ -95,6 +95,33 @@ def test_graph_recall_on_the_embeddings(spark, small):
     assert sum(len({n for _, n in got[q]} & {n for _, n in want[q]}) for q in want) / (10 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [20, 300])
+def test_graph_recall_among_equal_vectors(spark, copies):
+    """Members of groups of equal vectors find one another, and the others find what is nearest to them."""
+    rng = np.random.default_rng(copies)
+    v = rng.normal(size=(600 + 600 // copies, 64))
+    v = np.concatenate((v[:600], np.repeat(v[600:], copies, axis=0)))
+    v = (v / np.sqrt((v**2).sum(axis=1, keepdims=True))).astype(np.float32)
+    order = rng.permutation(len(v))
+    rows = [(int(k), [float(x) for x in v[i]]) for k, i in enumerate(order)]
+    got = collected(graph_search.neighbours_of_all(vectors(spark, rows)))
+    want = brute(rows, 10)
+    for group in (order < 600, order >= 600):
+        members = np.flatnonzero(group).tolist()
+        hits = sum(len({n for _, n in got[q]} & {n for _, n in want[q]}) for q in members)
+        assert hits / (10 * len(members)) >= 0.95
+
+
+def test_back_edges_beyond_four_lists_count():
+    """Around a hub every vector's edge back is a candidate, however many there are in a batch."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate((np.zeros((1, 300)), np.eye(300))).astype(np.float32)
+    v[1:] *= rng.permutation(np.linspace(1, 1.2, 300))[:, None].astype(np.float32)
+    graph, _ = graph_search.build(v, degree=4, beam=32)
+    nearest = np.argsort((v[1:] ** 2).sum(axis=1))[:4] + 1
+    assert set(graph[0].tolist()) == set(nearest.tolist())
+
+
 def test_robust_prune_keeps_diverse_edges():
     """Of a tight cluster one edge is enough; a far point in another direction stays."""
     v = np.array([[0, 0], [1, 0], [1.05, 0], [1.1, 0.01], [0, 3]], dtype=np.float32)

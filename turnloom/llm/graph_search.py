@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with a robust-pruned directed graph in each shard.
 
-Vectors are spread over shards by hash.  In a shard the graph starts out random; then each vector,
+Vectors are spread over shards by hash.  In a shard equal vectors are one vertex that carries all
+their ids, as pruning leaves copies no edges.  The graph starts out random; then each vector,
 in batches, searches the graph greedily from the medoid and its candidates are pruned: the nearest
 one stays, and with it go those that are nearer to it, times ``alpha``, than to the vector.  Edges
 also point back, and lists that grow too long are pruned likewise.  A query runs a beam search in
@@ -121,17 +122,15 @@ def build(v: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             node, first, count = np.unique(target, return_index=True, return_counts=True)
-            width = int(count.max()) if len(count) else 0
-            width = min(width, 4 * degree)
-            back = np.full((len(node), width), -1, dtype=np.int32)
-            rank = np.arange(len(target)) - np.repeat(first, count)
-            inside = rank < width
-            back[np.repeat(np.arange(len(node)), count)[inside], rank[inside]] = source[inside]
+            # those with many edges back together, so that few lists are wide
+            by = np.argsort(count, kind="stable")
+            node, first, count = node[by], first[by], count[by]
             for p in range(0, len(node), BATCH):
-                some = node[p : p + BATCH]
-                both = np.concatenate((graph[some], back[p : p + BATCH]), axis=1)
-                known = (back[p : p + BATCH, :, None] == graph[some][:, None, :]).any(axis=2)
-                both[:, degree:][known] = -1
+                some, c = node[p : p + BATCH], count[p : p + BATCH]
+                inside = np.arange(c[-1]) < c[:, None]
+                back = np.where(inside, source[np.where(inside, first[p : p + BATCH, None] + np.arange(c[-1]), 0)], -1)
+                known = (back[:, :, None] == graph[some][:, None, :]).any(axis=2)
+                both = np.concatenate((graph[some], np.where(known, -1, back)), axis=1)
                 full = (both >= 0).sum(axis=1) > degree
                 graph[some[~full]] = -np.sort(-both[~full], axis=1)[:, :degree]
                 if full.any():
@@ -139,6 +138,17 @@ def build(v: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: fl
     return graph, start
 
 
+def vertices(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct vectors in the order of their least ids, all ids by vertex and size, and where each vertex's ids start."""
+    v = np.ascontiguousarray(v + np.float32(0))  # no negative zeros
+    by = np.argsort(ids, kind="stable")
+    _, first, number = np.unique(v[by].view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    rank = np.empty(len(first), dtype=np.int64)
+    rank[np.argsort(first)] = np.arange(len(first))
+    pairs = np.unique(np.stack((rank[number], ids[by]), axis=1), axis=0)
+    return v[by[np.sort(first)]], np.ascontiguousarray(pairs[:, 1]), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+
+
 def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, neighbour_id, distance and rank: about the k nearest others of every vector."""
     rows = cut(usable(embeddings))
@@ -147,37 +157,40 @@ def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
 
     def make(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values("vec_id", kind="stable")
-        v = np.stack(data["v"].to_numpy()).astype(np.float32)
-        # repeated rows are one vertex; all rows of an id are in one shard
-        _, once = np.unique(np.column_stack((data["vec_id"].to_numpy(np.int64).view(np.uint8).reshape(len(v), 8), v.view(np.uint8))), axis=0, return_index=True)
-        once.sort()
-        data, v = data.iloc[once], v[once]
+        ids, v = data["vec_id"].to_numpy(np.int64), np.stack(data["v"].to_numpy()).astype(np.float32)
+        v, ids, bounds = vertices(ids, v)
         graph, start = build(v)
-        return pd.DataFrame({"shard": [int(data["shard"].iloc[0])], "vec_id": [0], "v": [[]], "extra": [np.array([len(v), v.shape[1], graph.shape[1], start], np.int64).tobytes() + data["vec_id"].to_numpy(np.int64).tobytes() + v.tobytes() + graph.tobytes()]})
+        body = b"".join(x.tobytes() for x in (np.array([len(v), v.shape[1], graph.shape[1], start, len(ids)], np.int64), bounds.astype(np.int64), ids, v, graph))
+        return pd.DataFrame({"shard": [int(data["shard"].iloc[0])], "vec_id": [0], "v": [[]], "extra": [body]})
 
     graphs = cut(shards.groupBy("shard").applyInPandas(make, "shard int, vec_id bigint, v array<double>, extra binary"))
     queries = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "vec_id", "v", F.lit(None).cast("binary").alias("extra"))
 
     def prepare(data: pa.Table) -> tuple:
         body = data.column("extra")[0].as_py()
-        n, dim, degree, start = np.frombuffer(body, np.int64, 4).tolist()
-        ids = np.frombuffer(body, np.int64, n, 32)
-        v = np.frombuffer(body, np.float32, n * dim, 32 + 8 * n).reshape(n, dim)
-        graph = np.frombuffer(body, np.int32, n * degree, 32 + 8 * n + 4 * n * dim).reshape(n, degree)
-        return ids, v, (v**2).sum(axis=1), graph, start
+        n, dim, degree, start, n_ids = np.frombuffer(body, np.int64, 5).tolist()
+        bounds = np.frombuffer(body, np.int64, n + 1, 40)
+        ids = np.frombuffer(body, np.int64, n_ids, at := 48 + 8 * n)
+        v = np.frombuffer(body, np.float32, n * dim, at := at + 8 * n_ids).reshape(n, dim)
+        graph = np.frombuffer(body, np.int32, n * degree, at + 4 * n * dim).reshape(n, degree)
+        return ids, bounds, v, (v**2).sum(axis=1), graph, start
 
     def answer(ready: tuple, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, v, norm, graph, start = ready
+        ids, bounds, v, norm, graph, start = ready
         for lo in range(0, part.num_rows, BATCH):
             p = part.slice(lo, BATCH)
             q_id, q = np.asarray(p.column(0)), matrix(p.column(1))
             found, _ = beam_search(v, norm, graph, start, q.astype(np.float32), max(beam, k + 1))
-            other = (found >= 0) & (ids[np.maximum(found, 0)] != q_id[:, None])
-            row, place = np.nonzero(other & (np.cumsum(other, axis=1) <= k))
-            hit = found[row, place]
+            # a vertex's ids are equally far: the least k besides the query's own are enough
+            count = np.where(found >= 0, np.minimum(bounds[found + 1] - bounds[found], k + 1), 0)
+            row, hit = np.repeat(np.arange(len(q)), count.sum(axis=1)), np.repeat(found.ravel(), count.ravel())
+            near = ids[bounds[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count.ravel(), count.ravel())]
+            other = near != q_id[row]
+            row, hit, near = row[other], hit[other], near[other]
+            some = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, hit, near = row[some], hit[some], near[some]
             exact = np.sqrt(((v[hit].astype(float) - q[row]) ** 2).sum(axis=1))
-            yield neighbours(q_id[row], ids[hit], np.round(exact, 6))
+            yield neighbours(q_id[row], near, np.round(exact, 6))
 
     return best(stream(graphs, queries, dict.fromkeys(range(n_shards), total), prepare, answer, NEIGHBOURS), k)
 
