@@ -111,6 +111,20 @@ def test_direct_path_of_a_room(spark):
         assert np.count_nonzero(r.anechoic) == 1 and np.count_nonzero(r.ir) > 10
 
 
+def test_no_room_is_given_up(spark):
+    """Where few attempts are feasible, drawing goes on."""
+    rows = sampling.rooms(spark.range(60).withColumnRenamed("id", "room_id"), 1, rt60=(0.01, 0.11)).collect()
+    assert len(rows) == 60 and max(r.attempt for r in rows) >= 16
+    assert all(r.absorption <= 1 and r.distance > 1 for r in rows)
+
+
+def test_draws_of_rooms_are_the_keyed_ones(spark):
+    u = [rng.uniform(3, "room_id", F.lit(a), F.lit("l")).alias(f"u{a}") for a in range(4)]
+    ids = spark.range(50).withColumnRenamed("id", "room_id")
+    for r in sampling.rooms(ids, 3).join(ids.select("room_id", *u), "room_id").where("attempt < 4").collect():
+        assert r.l == pytest.approx(5 + 5 * r[f"u{r.attempt}"], abs=1e-12)
+
+
 def signals(spark, rows):
     return spark.createDataFrame(list(enumerate(rows)), "sig_id bigint, x array<double>")
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import between, categorical, exponential, pick, uniform
 from .turns import HOLD, SWITCH
 
-#: Attempts at a room before it is given up; each fails with a probability well below a half.
-ATTEMPTS = 16
 SOUND = 343.0
 
 
@@ -84,13 +88,15 @@ def perturbed(cuts: DataFrame, seed: int, low: float, high: float) -> DataFrame:
     return c.select("cut_id", "speaker", "factor", slower(F.col("dur_us")).alias("dur_us"), words.alias("words"))
 
 
-def _room(seed: int, a: Column, size: tuple[float, float], ceiling: tuple[float, float], rt60: tuple[float, float]) -> Column:
-    """One attempt at a room; absorption above one means that so short a reverberation isn't possible."""
-    u = lambda what: uniform(seed, "room_id", a, F.lit(what))
-    l, z, r = between(u("l"), *size), between(u("z"), *ceiling), between(u("rt60"), *rt60)  # noqa: E741
-    w = l / 2 + u("w") * (F.lit(float(size[1])) - l / 2)
-    absorption = F.lit(24 * 2.302585092994046 / SOUND) * (l * w * z) / (2 * (l * w + l * z + w * z) * r)
-    return F.struct(a.alias("attempt"), l.alias("l"), w.alias("w"), z.alias("z"), r.alias("rt60"), absorption.alias("absorption"))
+def _absorption(l: float, w: float, z: float, rt60: float) -> float:  # noqa: E741
+    """Above one, so short a reverberation isn't possible."""
+    return 24 * 2.302585092994046 / SOUND * (l * w * z) / (2 * (l * w + l * z + w * z) * rt60)
+
+
+def _draw(seed: int, *key: object) -> float:
+    """The number that ``uniform`` gives for the key."""
+    text = "|".join(str(k) for k in (seed, *key) if k is not None)
+    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / float(1 << 32)
 
 
 def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceiling: tuple[float, float] = (3, 5), rt60: tuple[float, float] = (0.1, 0.7), delta: float = 0.5) -> DataFrame:
@@ -98,20 +104,38 @@ def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceilin
 
     The source is the first of its draws that is more than a metre from the microphone.
     """
-    tries = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda a: _room(seed, a, size, ceiling, rt60)), lambda r: r["absorption"] <= 1)
-    r = ids.select("room_id", F.get(tries, 0).alias("r")).where("r is not null").select("room_id", "r.*")
-    u = lambda what: uniform(seed, "room_id", F.lit(what))
-    inside = lambda x, high: F.lit(float(delta)) + x * (F.col(high) - 2 * float(delta))
-    r = r.withColumn("mic_x", inside(u("mx"), "l")).withColumn("mic_y", inside(u("my"), "w")).withColumn("mic_z", F.lit(0.5) + u("mz") * (F.col("z") - delta - 0.5))
-
-    def source(a: Column) -> Column:
-        v = lambda what: uniform(seed, "room_id", a, F.lit(what))
-        x, y, z = inside(v("sx"), "l"), inside(v("sy"), "w"), between(v("sz"), 0.5, 2.0)
-        far = F.sqrt((x - F.col("mic_x")) ** 2 + (y - F.col("mic_y")) ** 2 + (z - F.col("mic_z")) ** 2)
-        return F.struct(x.alias("src_x"), y.alias("src_y"), z.alias("src_z"), far.alias("distance"))
-
-    placed = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), source), lambda s: s["distance"] > 1)
-    return r.withColumn("s", F.get(placed, 0)).where("s is not null").select("*", "s.*").drop("s")
+    if _absorption(size[0], size[0] / 2, ceiling[0], rt60[1]) >= 1:
+        raise ValueError("no room of this size has so short a reverberation")
+
+    def inside(u: float, high: float) -> float:
+        return float(delta) + u * (high - 2 * float(delta))
+
+    def room(key: str | None) -> tuple:
+        for a in itertools.count():
+            u = lambda what: _draw(seed, key, a, what)  # noqa: B023, E731
+            l, z, r = (low + u(k) * float(high - low) for k, (low, high) in (("l", size), ("z", ceiling), ("rt60", rt60)))  # noqa: E741
+            w = l / 2 + u("w") * (float(size[1]) - l / 2)
+            if _absorption(l, w, z, r) <= 1:
+                break
+        mic = inside(_draw(seed, key, "mx"), l), inside(_draw(seed, key, "my"), w), 0.5 + _draw(seed, key, "mz") * (z - delta - 0.5)
+        corner = zip(mic, (delta, delta, 0.5), (l - delta, w - delta, 2.0), strict=True)
+        if sum(max(abs(low - m), abs(high - m)) ** 2 for m, low, high in corner) <= 1:
+            raise ValueError("no place in the room is a metre from the microphone")
+        for t in itertools.count():
+            src = inside(_draw(seed, key, t, "sx"), l), inside(_draw(seed, key, t, "sy"), w), 0.5 + _draw(seed, key, t, "sz") * 1.5
+            distance = math.sqrt(sum((s - m) ** 2 for s, m in zip(src, mic, strict=True)))
+            if distance > 1:
+                return (a, l, w, z, r, _absorption(l, w, z, r), *mic, *src, distance)
+
+    names = ["l", "w", "z", "rt60", "absorption", "mic_x", "mic_y", "mic_z", "src_x", "src_y", "src_z", "distance"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(zip(*[room(k) for k in b.column(1).to_pylist()], strict=True)) or [[]] * 13
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["room_id", "attempt", *names])
+
+    keyed = ids.select("room_id", F.col("room_id").cast("string").alias("key"))
+    return keyed.mapInArrow(run, f"room_id {ids.schema['room_id'].dataType.simpleString()}, attempt int, " + ", ".join(f"{c} double" for c in names))
 
 
 def direct_path_delay(distance: Column, rate: int = 16000) -> Column:
