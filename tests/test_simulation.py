@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import math
 import random
 
@@ -14,6 +15,8 @@ from turnloom.functions import rng
 from turnloom.operators import audio, intervals, sampling, signal
 from turnloom.operators import simulate as simulate_module
 from turnloom.operators.simulate import SimConfig, draw, place_utterance, simulate
+from turnloom.plans import sampling as room_plans
+from turnloom.plans import signals as sig_plans
 from turnloom.sources import views
 from turnloom.streaming import turns as live
 
@@ -125,6 +128,41 @@ def test_draws_of_rooms_are_the_keyed_ones(spark):
         assert r.l == pytest.approx(5 + 5 * r[f"u{r.attempt}"], abs=1e-12)
 
 
+def test_responses_last_as_long_as_the_reverberation(spark, small):
+    """Orders and lengths follow from rt60 and size; the registered responses are whole."""
+    rows = sig_plans.rir_image_source(spark, small).join(room_plans._rooms(spark, small), "room_id").where("room_id between 1 and 12").collect()
+    assert len(rows) == 12
+    for r in rows:
+        sides = [(r.l, r.w), (r.l, r.z), (r.w, r.z)]
+        order = math.ceil(343 * r.rt60 / min(a * b / math.sqrt(a * a + b * b) for a, b in sides) - 1)
+        assert audio.inverse_sabine(np.array([r.l, r.w, r.z]), r.rt60) == (pytest.approx(r.absorption), order)
+        assert len(r.ir) >= r.rt60 * 16000 and r.ir[-1] != 0
+    assert any(np.any(np.array(r.ir)[2048:]) for r in rows)
+    wet = {r.sig_id: r for r in sig_plans.rir_convolve(spark, small).where("sig_id < 12").collect()}
+    dry = {r.sig_id: r.x for r in views.signals(spark, small).where("sig_id < 12").collect()}
+    by_room = {r.room_id: np.array(r.ir) for r in rows}
+    compared = 0
+    for k, r in wet.items():
+        if k + 1 in by_room:
+            h = by_room[k + 1]
+            assert np.allclose(r.y, np.convolve(dry[k], h[np.abs(h).argmax() :]), atol=1e-6)
+            compared += 1
+    assert compared
+
+
+def test_images_equal_a_loop():
+    room, src, mic = np.array([5.0, 4.0, 3.0]), np.array([1.0, 3.0, 1.5]), np.array([4.0, 1.0, 1.2])
+    want = np.zeros(4096)
+    for i in itertools.product(range(-4, 5), repeat=3):
+        if sum(map(abs, i)) <= 4:
+            image = [j * side + s if j % 2 == 0 else (j + 1) * side - s for j, side, s in zip(i, room, src, strict=True)]
+            d = math.dist(image, mic)
+            want[round(d * 16000 / 343)] += math.sqrt(0.7) ** sum(map(abs, i)) / (4 * math.pi * d)
+    got = audio.image_source(room, src, mic, 0.3, 4, 16000)
+    assert len(got) == np.flatnonzero(want)[-1] + 1 and np.allclose(got, want[: len(got)])
+    assert np.allclose(audio.image_source(room, src, mic, 0.3, 4, 16000, 4096), want)
+
+
 def signals(spark, rows):
     return spark.createDataFrame(list(enumerate(rows)), "sig_id bigint, x array<double>")
 

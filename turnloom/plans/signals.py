@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import pick, uniform, uniform_sql
+from ..llm.common import partitions
 from ..operators import audio, signal
 from ..sources import views
 from .registry import SIGNALS, query
@@ -167,26 +168,35 @@ def resample(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rir_image_source")
 def rir_image_source(spark: SparkSession, d: str) -> DataFrame:
-    """Impulse responses of all sampled rooms; tests compare the direct path with the geometry."""
-    return audio.room_responses(_rooms(spark, d).repartition("room_id"), order=2)
+    """Impulse responses of all sampled rooms; tests compare the direct path with the geometry and the length with rt60."""
+    return audio.room_responses(_rooms(spark, d).repartition(partitions(spark), "room_id"))
 
 
 @query("rir_convolve")
 def rir_convolve(spark: SparkSession, d: str) -> DataFrame:
     """Each signal reverberated in the room of its number (modulo the rooms), trimmed to the direct path."""
-    rooms = audio.room_responses(_rooms(spark, d).repartition("room_id"), order=1)
+    rooms = _rooms(spark, d)
     n = rooms.sparkSession.range(1).select(F.lit(views.table(spark, d, "part").count()).alias("n"))
     s = views.signals(spark, d).crossJoin(n).withColumn("room_id", F.col("sig_id") % F.col("n") + 1).drop("n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rooms travel as geometry; a room's signals come together, so its response is made once
+        last, h = None, np.zeros(0)
         for b in batches:
             out = []
-            for i, x, h in zip(b["sig_id"], b["x"], b["ir"], strict=True):
-                h = np.asarray(h)
-                out.append((i, np.round(np.convolve(np.asarray(x), h[int(np.abs(h).argmax()) :]), 6).tolist()))
-            yield pd.DataFrame(out, columns=["sig_id", "y"])
-
-    return s.join(rooms, "room_id").select("sig_id", "x", "ir").mapInPandas(run, "sig_id bigint, y array<double>")
+            for r in b.itertuples(index=False):
+                if r.room_id != last:
+                    last, h = r.room_id, audio.room_response(r)[0]
+                    h = h[int(np.abs(h).argmax()) :]
+                out.append((r.sig_id, np.round(np.convolve(np.asarray(r.x), h), 6)))
+                if len(out) == 32:
+                    yield pd.DataFrame(out, columns=["sig_id", "y"])
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=["sig_id", "y"])
+
+    joined = s.select("room_id", "sig_id", "x").join(rooms, "room_id").repartition(partitions(spark), "room_id").sortWithinPartitions("room_id")
+    return joined.mapInPandas(run, "sig_id bigint, y array<double>")
 
 
 @query("euclid", f"WITH {SIGNALS} SELECT sig_id, round(sqrt((x[1] - 0.1) ** 2 + (x[2] - 0.2) ** 2 + (x[3] - 0.3) ** 2), 6) AS distance FROM v_signals")
