@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textbatch import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,3 +92,52 @@ def unpack(batches: Iterator[pa.RecordBatch], record: np.dtype) -> np.ndarray:
 def exchange(df: DataFrame, make: Callable, buckets: int) -> DataFrame:
     """Packed blocks of ``make`` (mapInArrow function to BLOCK rows), bucket b in partition b."""
     return df.mapInArrow(make, BLOCK).repartitionById(buckets, F.col("bucket"))
+
+
+class Filter:
+    """A Bloom filter of at most 32 MB, which any number of keys may enter; who asks must check again.
+
+    Up to 20 million keys few others pass; with more it lets more through, and nothing else changes.
+    """
+
+    LARGEST = 1 << 28
+
+    def __init__(self, keys: DataFrame) -> None:
+        """keys: one bigint column.  Tasks fill the bits, and the driver gets them combined."""
+        n = keys.count()
+        self.bits = 1 << min(self.LARGEST.bit_length() - 1, max(13, (12 * n).bit_length()))
+        size, chunk = self.bits, self.bits // 2048
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(size // 8, dtype=np.uint8)
+            for batch in batches:
+                for at in _places(np.asarray(batch.column(0)), size):
+                    np.bitwise_or.at(held, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            if held.any():
+                bodies = [held[k * chunk : (k + 1) * chunk].tobytes() for k in range(256)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(bodies, pa.binary())], schema=_BLOCK)
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    part = np.frombuffer(body, np.uint8)
+                    total[k] = total[k] | part if k in total else part
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=_BLOCK)
+
+        self.body = np.zeros(size // 8, dtype=np.uint8)
+        few = keys.coalesce(max(1, min(partitions(keys.sparkSession), 1 + n // 100_000)))
+        for row in few.mapInArrow(fill, BLOCK).repartitionById(min(partitions(keys.sparkSession), 16), F.col("bucket")).mapInArrow(join, BLOCK).collect():
+            self.body[row.bucket * chunk : (row.bucket + 1) * chunk] = np.frombuffer(bytes(row.body), np.uint8)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), dtype=bool)
+        for at in _places(keys, self.bits):
+            out &= (self.body[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = mix(keys.view(np.uint64))
+    return [((x >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64) for shift in (0, 32)]

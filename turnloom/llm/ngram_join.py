@@ -2,35 +2,42 @@
 
 Jaccard distance is a metric.  The join works in pivot regions of that space:
 
-0. A document can have a partner only if most of its n-grams occur in other documents; the others
-   are settled by counting, over all documents, which n-grams two or more share.
-1. Every remaining document takes part in the regions of its rarest n-grams: as many as a pair at or above
-   the threshold must share one of (``size - ceil(t * size) + 1``).  Rarity is counted over all
-   documents, in a table of fixed size; any order gives the same pairs.
-2. The documents of an n-gram's region are tied to one of them, its pivot.  Regions with the same
-   pivot are one region, so a group of copies meets in few regions, whatever n-grams it shares.
-3. A region's task computes the distances to the pivot and joins within windows given by the
-   triangle inequality: |d(x,p) - d(y,p)| > 1-t rules a pair out.  Large regions are split again
-   by pivots chosen far apart: each document goes to its nearest pivot's Voronoi cell, and to
-   each cell whose distance is within 2(1-t) of the nearest; cells join recursively, until they are
-   small or no longer shrink.
-4. Regions of more documents than fit one task are joined block against block.
+0. Texts are cut into words once.  n-grams go to tasks by hash, which count the documents of each;
+   back to a document come those that another one has too, with their rarity.  A document can have
+   a partner only if ``ceil(t * size)`` of its n-grams came back; the others are settled by that.
+   Equal sets are one set from here on.
+1. A set takes part in the regions of its rarest n-grams: as many as a pair at or above the
+   threshold must share one of (``size - ceil(t * size) + 1``).
+2. The sets of an n-gram are tied to one of them, its pivot.  Regions with the same pivot are one,
+   so a group of near copies meets in few regions, whatever n-grams it shares.  A pair that meets
+   in several regions belongs to the least of their pivots.
+3. Within a region pivots far from each other make Voronoi cells of a radius r of at most t/2, which
+   are divided again until they are small.  By the triangle inequality a set can have a partner
+   in a cell only if its distance to the cell's pivot lies within 1-t of those of the cell's own
+   sets; such sets are replicated to the cell, and no other pair is compared.  As r + 1-t is below
+   one, sets that share little with the pivot never enter the cell.
+4. A region of more than ``REGION_ROWS`` sets is held in parts by several tasks; the sets of later
+   parts stream past the cells of each part under the same bounds.
+
+The result has one row a document: its class (the least id of all that similar documents connect
+it with) and its links (how many documents it is similar to).  Copies are never expanded to pairs:
+a region hands on one row a set, with the sum of its links and the set it is connected with.
 
 Defined results
-  null doc_id: the row is left out of the pairs; the filter keeps it
-  null or empty text, or white space only: no n-grams, in no pair
+  null doc_id: no row; the filter keeps it
+  null or empty text, or white space only: no n-grams; a class of its own, no links
   fewer words than n: the whole text is the one n-gram
-  repeated rows: rows that share a doc_id are one document and are never paired with each other;
-    in the filter they stay or go together
-  ties (equal sets): distance 0, all pairs reported
-  empty table: no pairs; extra columns: ignored here, passed through by the filter
+  repeated rows: the same id and n-grams are one document; one id with several texts is a document
+    for each; in the filter the rows of an id stay or go together
+  ties (equal sets): links at distance 0
+  empty table: no rows; extra columns: ignored here, passed through by the filter
   very long texts: whole sets, never prefixes or samples
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +48,13 @@ from .common import BLOCK, Packer, cut, partitions, table, unpack
 from .textbatch import Words, gram_positions, grams, mix, order_by_hash, ranges, runs, slices, words
 
 N, THRESHOLD = 5, 0.5
-#: Slots of the table of n-gram counts, which is sent to all tasks: 4 MB at any size.
-COUNT_SLOTS = 1 << 20
-#: Sets a task joins at once, and the size from which cells are split by pivots.
+#: Sets that a task holds of a region, the size up to which cells aren't divided, and pivots a division.
 REGION_ROWS, CELL_ROWS, PIVOTS = 4096, 512, 8
-#: Keys of the filter of candidate sets that is sent to all tasks; beyond, all sets are joined instead.
-FILTER_KEYS = 8_000_000
-_SIG = np.dtype([("gram", "<u4"), ("set", "<u8")])
+_SIG = np.dtype([("gram", "<u8"), ("set", "<u8")])
 _INFO = np.dtype([("doc", "<i8"), ("set", "<u8"), ("size", "<u4")])
 #: n-grams of a batch of documents, roughly.
 BATCH_GRAMS = 1 << 20
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,49 +88,39 @@ def _set_hash(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ids(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null and text is not null")
+def _least_shared(size: np.ndarray, threshold: float) -> np.ndarray:
+    return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
-def _gram_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """In how many documents the n-grams of each slot occur, over all documents."""
-    chunk = COUNT_SLOTS // 256
+def _ids(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNT_SLOTS, dtype=np.uint32)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                value, _ = _sets(words(part.column(1)), n)
-                total += np.bincount((value % np.uint64(COUNT_SLOTS)).astype(np.int64), minlength=COUNT_SLOTS).astype(np.uint32)
-        if total.any():
-            bodies = [total[k * chunk : (k + 1) * chunk].tobytes() for k in range(256)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(bodies, pa.binary())], names=["bucket", "body"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(body, dtype=np.uint32).astype(np.uint64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["bucket", "body"])
-
-    spark = docs.sparkSession
-    rows = docs.mapInArrow(count, BLOCK).repartitionById(min(partitions(spark), 256), F.col("bucket")).mapInArrow(add, BLOCK).collect()
-    out = np.zeros(COUNT_SLOTS, dtype=np.uint64)
-    for r in rows:
-        out[r.bucket * chunk : (r.bucket + 1) * chunk] = np.frombuffer(bytes(r.body), dtype=np.uint64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """The (kind, body) of each batch of documents, from rows sorted by batch."""
+    name, held = None, []
+    for got in batches:
+        for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
+            if held and batch != name:
+                yield name, held
+                held = []
+            name = batch
+            held.append((kind, body))
+    if held:
+        yield name, held
 
 
-def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set, size and how many of the set's n-grams another document has too.
+def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """doc_id, set, size, take and grams of each document; grams is null where it can have no partner.
 
-    n-grams go to tasks by hash, in batches of documents; back come, for each batch, the places of
-    the documents that hold an n-gram of two or more.  A document whose n-grams are mostly its own
-    has no partner, so that nothing more than this count is ever done for it.
+    grams are the n-grams that other documents have too, the rarest first, of which the first
+    ``take`` tie the set to regions.  n-grams travel in batches of documents, 8 bytes each: 48 bits of
+    hash besides those that choose the task, and the document's place in its batch.  One that a batch
+    holds often (a passage of many copies) travels once with its count, and waits at the batch.
     """
-    buckets = partitions(docs.sparkSession)
+    buckets = min(partitions(docs.sparkSession), 1 << 16)
     schema = "bucket int, batch bigint, kind int, body binary"
+    often = 64
 
     def rows(bucket: list[int], batch: int, kind: int, body: list[bytes]) -> pa.RecordBatch:
         k = len(bucket)
@@ -137,15 +131,33 @@ def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
         batch = int(mix(np.array([np.bitwise_xor.reduce(mix(which + np.arange(len(doc), dtype=np.uint64) + mix(doc.view(np.uint64))))], dtype=np.uint64)).view(np.int64)[0])
         info = np.empty(len(doc), dtype=_INFO)
         info["doc"], info["set"], info["size"] = doc, which, size
-        yield rows([abs(batch) % buckets], batch, 0, [info.tobytes()])
+        home = abs(batch) % buckets
+        yield rows([home], batch, 0, [info.tobytes()])
         place = np.repeat(np.arange(len(doc), dtype=np.uint16), size)
-        bucket = ((value >> np.uint64(40)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        # values that this batch holds often: a small table of counts finds what may be one
+        slot = (value & np.uint64(0xFFFFF)).astype(np.int64)
+        maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= often)
+        if len(maybe):
+            found, where, count = np.unique(value[maybe], return_inverse=True, return_counts=True)
+            hot = maybe[count[where] >= often]
+            if len(hot):
+                found, count = found[count >= often], count[count >= often]
+                bucket = ((found >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+                for b in np.unique(bucket).tolist():
+                    mine = bucket == b
+                    yield rows([b], batch, 2, [(found[mine] & _LOW).tobytes() + count[mine].astype(np.uint32).tobytes()])
+                yield rows([home], batch, 3, [(value[hot] & _LOW).tobytes() + place[hot].tobytes()])
+                rest = np.ones(len(value), bool)
+                rest[hot] = False
+                value, place = value[rest], place[rest]
+        bucket = ((value >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        value, place = (value[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), place[order]
+        value, place = value[order], place[order]
+        low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint16)
         some = np.flatnonzero(np.diff(bounds)).tolist()
         for k in range(0, len(some), 64):
-            yield rows(some[k : k + 64], batch, 1, [value[bounds[b] : bounds[b + 1]].tobytes() + place[bounds[b] : bounds[b + 1]].tobytes() for b in some[k : k + 64]])
+            yield rows(some[k : k + 64], batch, 1, [b"".join(x[bounds[b] : bounds[b + 1]].tobytes() for x in (low, high, place)) for b in some[k : k + 64]])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, grams_held, docs_held = [], 0, 0
@@ -167,110 +179,106 @@ def _shared_counts(docs: DataFrame, n: int) -> DataFrame:
             yield from send(parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, values, places = [], [], []
+        names, values, places, weights = [], [], [], []
         for got in batches:
             for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
-                if kind == 0:
-                    yield rows([0], batch, 0, [body])
+                if kind in (0, 3):
+                    yield rows([0], batch, kind, [body])
+                    continue
+                names.append((batch, kind))
+                if kind == 1:
+                    k = len(body) // 8
+                    values.append(np.frombuffer(body, np.uint32, k).astype(np.uint64) | (np.frombuffer(body, np.uint16, k, 4 * k).astype(np.uint64) << np.uint64(32)))
+                    places.append(np.frombuffer(body, np.uint16, k, 6 * k))
+                    weights.append(np.ones(k, np.uint32))
                 else:
-                    k = len(body) // 6
-                    names.append(batch)
-                    values.append(np.frombuffer(body, np.uint32, k))
-                    places.append(np.frombuffer(body, np.uint16, k, 4 * k))
+                    k = len(body) // 12
+                    values.append(np.frombuffer(body, np.uint64, k))
+                    places.append(np.zeros(k, np.uint16))
+                    weights.append(np.frombuffer(body, np.uint32, k, 8 * k))
         if not names:
             return
         value = np.concatenate(values)
-        order = order_by_hash(value.astype(np.uint64) << np.uint64(32))
+        order = order_by_hash(value << np.uint64(16))
         bounds = runs(value[order])
-        many = np.diff(bounds) > 1
-        shared = np.zeros(len(value), dtype=bool)
-        shared[order[ranges(bounds[:-1][many], np.diff(bounds)[many])]] = True
+        count = np.add.reduceat(np.concatenate(weights)[order], bounds[:-1], dtype=np.int64)
+        # eight steps of rarity a doubling
+        rarity = np.empty(len(value), dtype=np.uint8)
+        rarity[order] = np.repeat(np.minimum(255, np.round(8 * np.log2(count))).astype(np.uint8), np.diff(bounds))
         at = 0
-        for batch, place in zip(names, places, strict=True):
-            mine = place[shared[at : at + len(place)]]
-            at += len(place)
-            if len(mine):
-                yield rows([0], batch, 1, [mine.tobytes()])
+        for (batch, kind), v, place in zip(names, values, places, strict=True):
+            r = rarity[at : at + len(v)]
+            at += len(v)
+            if kind == 2:
+                yield rows([0], batch, 2, [v.tobytes() + r.tobytes()])
+            elif (shared := r > 0).any():
+                yield rows([0], batch, 1, [v[shared].tobytes() + place[shared].tobytes() + r[shared].tobytes()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info: dict[int, np.ndarray] = {}
-        count: dict[int, np.ndarray] = {}
-        for got in batches:
-            for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
+        for _, items in _by_batch(batches):
+            info, often_value, often_rarity, waiting = None, [], [], []
+            value, place, rarity = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
+            for kind, body in items:
                 if kind == 0:
-                    info[batch] = np.frombuffer(body, _INFO)
+                    info = np.frombuffer(body, _INFO)
+                elif kind == 1:
+                    k = len(body) // 11
+                    value.append(np.frombuffer(body, np.uint64, k))
+                    place.append(np.frombuffer(body, np.uint16, k, 8 * k))
+                    rarity.append(np.frombuffer(body, np.uint8, k, 10 * k))
+                elif kind == 2:
+                    k = len(body) // 9
+                    often_value.append(np.frombuffer(body, np.uint64, k))
+                    often_rarity.append(np.frombuffer(body, np.uint8, k, 8 * k))
                 else:
-                    c = np.bincount(np.frombuffer(body, np.uint16), minlength=1 << 16)
-                    count[batch] = count[batch] + c if batch in count else c
-        for batch, rows_ in info.items():
-            got = count.get(batch, np.zeros(1 << 16, np.int64))[: len(rows_)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (rows_["doc"], rows_["set"].view(np.int64), rows_["size"].astype(np.int64), got)], names=["doc_id", "set", "size", "shared"])
-
-    sent = docs.mapInArrow(emit, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, schema)
-    back = sent.repartition(buckets, "batch").mapInArrow(add, "doc_id bigint, set bigint, size bigint, shared bigint")
-    return cut(back.where("set <> 0"))
-
-
-def _key(which: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return mix(which ^ mix(doc.view(np.uint64)))
-
+                    waiting.append(body)
+            if waiting:
+                # two values that differ only in their bucket's bits are taken for one
+                known, first = np.unique(np.concatenate(often_value), return_index=True)
+                rare = np.concatenate(often_rarity)[first]
+                for body in waiting:
+                    k = len(body) // 10
+                    v = np.frombuffer(body, np.uint64, k)
+                    value.append(v)
+                    place.append(np.frombuffer(body, np.uint16, k, 8 * k))
+                    rarity.append(rare[np.searchsorted(known, v)])
+            value, place, rarity = np.concatenate(value), np.concatenate(place), np.concatenate(rarity)
+            order = np.lexsort((value, rarity, place))
+            value, place = value[order], place[order]
+            bounds = np.searchsorted(place, np.arange(len(info) + 1))
+            size, shared = info["size"].astype(np.int64), np.diff(bounds)
+            least = _least_shared(size, threshold)
+            take = np.maximum(0, size - least + 1 - (size - shared))
+            able = (size > 0) & (shared >= least)
+            for lo in range(0, len(info), 2048):
+                hi = min(len(info), lo + 2048)
+                bodies = [value[bounds[r] : bounds[r + 1]].tobytes() if able[r] else None for r in range(lo, hi)]
+                columns = (info["doc"], info["set"].view(np.int64), size, take)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c[lo:hi])) for c in columns], pa.array(bodies, pa.binary())], names=["doc_id", "set", "size", "take", "grams"])
+
+    sent = _ids(docs).mapInArrow(emit, schema).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, schema)
+    back = sent.repartition(buckets, "batch").sortWithinPartitions("batch")
+    return cut(back.mapInArrow(add, "doc_id bigint, set bigint, size bigint, take bigint, grams binary"))
+
+
+def _ties(sets: DataFrame) -> DataFrame:
+    """(set, pivot): the set takes part in the pivot's region; pivots in their own."""
+    buckets = partitions(sets.sparkSession)
 
-def _bits(wanted: DataFrame) -> np.ndarray | None:
-    """A filter of (set, rep), if there are few enough to send it to all tasks."""
-    if wanted.limit(FILTER_KEYS + 1).count() > FILTER_KEYS:
-        return None
-    rows = wanted.select("set", "rep").toArrow()
-    return _filter_bits(_key(rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()))
-
-
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, make: Callable, schema: str) -> DataFrame:
-    """What ``make`` yields from (set hashes, doc ids, n-grams of each) of the wanted (set, rep).
-
-    A few documents that aren't wanted may be among them.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(_bits(wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-
-        def sets() -> Iterator[tuple]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    value, bounds = _sets(words(part.column(1)), n)
-                    which, doc = _set_hash(value, bounds), np.asarray(part.column(0))
-                    keep = np.flatnonzero((np.diff(bounds) > 0) & _passes(bits, _key(which, doc)))
-                    if len(keep):
-                        yield which[keep], doc[keep], [value[bounds[r] : bounds[r + 1]] for r in keep]
-
-        yield from make(sets())
-
-    return docs.mapInArrow(run, schema)
-
-
-def _links(docs: DataFrame, wanted: DataFrame, threshold: float, n: int) -> DataFrame:
-    """set is tied to the pivot set of one of its rarest n-grams."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(_gram_counts(docs, n))
-    buckets = partitions(spark)
-
-    def emit(sets: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(_SIG, buckets)
-        for which, _, values in sets:
-            for one, value in zip(which, values, strict=True):
-                rarity = (held.value[(value % np.uint64(COUNT_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (value >> np.uint64(32))
-                take = len(value) - math.ceil(threshold * len(value) - 1e-9) + 1
-                # of equal rarity at the cut all, so that every set cuts alike
-                value = value[rarity <= np.partition(rarity, take - 1)[take - 1]] if take < len(value) else value
-                record = np.empty(len(value), dtype=_SIG)
-                record["gram"] = (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                record["set"] = one
-                yield from packer.add(value, record)
+        for batch in batches:
+            for one, take, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                record = np.empty(take, dtype=_SIG)
+                record["gram"] = np.frombuffer(body, np.uint64, take)
+                record["set"] = np.int64(one).view(np.uint64)
+                yield from packer.add(mix(record["gram"]), record)
         yield from packer.flush()
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = unpack(batches, _SIG)
-        gram, sets = record["gram"], record["set"]
-        order = order_by_hash(gram.astype(np.uint64) << np.uint64(32))
+        gram, sets = record["gram"], record["set"].view(np.int64)
+        order = order_by_hash(mix(gram))
         bounds = runs(gram[order])
         long = np.diff(bounds) > 1
         at = order[ranges(bounds[:-1][long], np.diff(bounds)[long])]
@@ -279,105 +287,211 @@ def _links(docs: DataFrame, wanted: DataFrame, threshold: float, n: int) -> Data
         order = np.lexsort((sets, run))
         run, sets = run[order], sets[order]
         pivot = sets[runs(run)[:-1]][run] if len(run) else sets
-        other = pivot != sets
-        links = np.unique(np.stack((sets[other], pivot[other]), axis=1), axis=0).view(np.int64)
+        links = np.unique(np.stack((sets, pivot), axis=1), axis=0) if len(run) else np.zeros((0, 2), np.int64)
         for k in range(0, len(links), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[k : k + (1 << 16), c])) for c in (0, 1)], names=["set", "pivot"])
 
-    blocks = _wanted_sets(docs, wanted, n, emit, BLOCK).repartitionById(buckets, F.col("bucket"))
-    return cut(blocks.mapInArrow(tie, "set bigint, pivot bigint").distinct())
-
-
-def _filter_bits(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << max(13, int(len(keys) * 12).bit_length()), dtype=bool)
-    low = np.uint64(len(bits) - 1)
-    for shift in (0, 32):
-        bits[((keys >> np.uint64(shift)) & low).astype(np.int64)] = True
-    return bits
-
-
-def _passes(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
-    if bits is None:
-        return np.ones(len(keys), dtype=bool)
-    low = np.uint64(len(bits) - 1)
-    return bits[(keys & low).astype(np.int64)] & bits[((keys >> np.uint64(32)) & low).astype(np.int64)]
-
-
-def _bodies(sets: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    for which, doc, values in sets:
-        yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(doc), pa.array([v.tobytes() for v in values], pa.binary())], names=["set", "rep", "grams"])
-
-
-class _Region:
-    """The sets of one region, with exact intersections between any two lists of them."""
-
-    def __init__(self, bodies: list[bytes], threshold: float) -> None:
-        self.size = np.array([len(b) // 8 for b in bodies], dtype=np.int64)
-        value = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in bodies])
-        owner = np.repeat(np.arange(len(bodies)), self.size)
-        order = order_by_hash(value)
-        bounds = runs(value[order])
-        shared = np.diff(bounds) > 1
-        # n-grams of one set only count towards sizes, not towards intersections
-        at = order[ranges(bounds[:-1][shared], np.diff(bounds)[shared])]
-        column = np.repeat(np.arange(int(shared.sum())), np.diff(bounds)[shared])
-        owner = owner[at]
-        order = np.argsort(owner, kind="stable")
-        self.column, self.columns = column[order], int(shared.sum())
-        self.first = np.searchsorted(owner[order], np.arange(len(bodies) + 1))
-        self.threshold, self.eps = threshold, 1 - threshold
-
-    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Jaccard similarity of each of a with each of b."""
-        shared = np.zeros((len(a), len(b)), dtype=np.float32)
-        step = max(1, (16 << 20) // max(1, len(a) + len(b)) // 4)
-        rows_a, rows_b = self._entries(a), self._entries(b)
-        for lo in range(0, self.columns, step):
-            left, right = (self._dense(len(x), e, lo, min(step, self.columns - lo)) for x, e in ((a, rows_a), (b, rows_b)))
-            shared += left @ right.T
-        union = self.size[a][:, None] + self.size[b][None, :] - shared
-        return shared / union
-
-    def _entries(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = self.first[members + 1] - self.first[members]
-        column = self.column[ranges(self.first[members], count)]
-        row = np.repeat(np.arange(len(members)), count)
-        order = np.argsort(column, kind="stable")
-        return row[order], column[order]
+    blocks = sets.select("set", "take", "grams").mapInArrow(emit, BLOCK).repartitionById(buckets, F.col("bucket"))
+    return blocks.mapInArrow(tie, "set bigint, pivot bigint").distinct()
+
+
+class _Bags:
+    """Lists of numbers a row, and how many numbers two rows share, as products of dense blocks."""
+
+    def __init__(self, lists: list[np.ndarray], strangers: bool) -> None:
+        """strangers: rows from outside will be compared too, so that numbers of a single row stay."""
+        self.size = np.array([len(x) for x in lists], dtype=np.int64)
+        value = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(lists)), self.size)
+        self.known, column, count = np.unique(value, return_inverse=True, return_counts=True)
+        if not strangers and len(value):
+            keep = count > 1
+            number = np.cumsum(keep) - 1
+            owner, column = owner[keep[column]], number[column[keep[column]]]
+            self.known = self.known[keep]
+        self.column = column
+        self.first = np.searchsorted(owner, np.arange(len(lists) + 1))
+
+    def entries(self, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        count = self.first[rows + 1] - self.first[rows]
+        return self._sorted(len(rows), np.repeat(np.arange(len(rows)), count), self.column[ranges(self.first[rows], count)])
+
+    def outside(self, lists: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        value = np.concatenate(lists)
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        if not len(self.known):
+            return self._sorted(len(lists), row[:0], row[:0])
+        column = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+        some = self.known[column] == value
+        return self._sorted(len(lists), row[some], column[some])
 
     @staticmethod
-    def _dense(rows: int, entries: tuple[np.ndarray, np.ndarray], lo: int, width: int) -> np.ndarray:
-        row, column = entries
-        a, b = np.searchsorted(column, (lo, lo + width))
-        out = np.zeros((rows, width), dtype=np.float32)
-        out[row[a:b], column[a:b] - lo] = 1
+    def _sorted(rows: int, row: np.ndarray, column: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        order = np.argsort(column, kind="stable")
+        return rows, row[order], column[order]
+
+    def common(self, a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray]) -> np.ndarray:
+        """How many numbers each row of a shares with each of b."""
+        out = np.zeros((a[0], b[0]), dtype=np.float32)
+        if not len(a[1]) or not len(b[1]):
+            return out
+        # only columns that both have
+        in_b = np.zeros(len(self.known), bool)
+        in_b[b[2]] = True
+        both = np.unique(a[2][in_b[a[2]]])
+        number = np.full(len(self.known), -1)
+        number[both] = np.arange(len(both))
+        step = max(64, (16 << 20) // (a[0] + b[0]) // 4)
+        pair = []
+        for rows, row, column in (a, b):
+            column = number[column]
+            keep = column >= 0
+            pair.append((rows, row[keep], column[keep]))
+        for lo in range(0, len(both), step):
+            width = min(step, len(both) - lo)
+            dense = []
+            for rows, row, column in pair:
+                p, q = np.searchsorted(column, (lo, lo + width))
+                x = np.zeros((rows, width), dtype=np.float32)
+                x[row[p:q], column[p:q] - lo] = 1
+                dense.append(x)
+            out += dense[0] @ dense[1].T
         return out
 
-    def brute(self, members: np.ndarray, found: list[np.ndarray]) -> None:
-        for i in range(0, len(members), CELL_ROWS):
-            for j in range(i, len(members), CELL_ROWS):
-                a, b = members[i : i + CELL_ROWS], members[j : j + CELL_ROWS]
-                s = self.similarity(a, b)
-                x, y = np.nonzero(s >= self.threshold - 1e-7)
-                keep = a[x] < b[y] if i == j else np.ones(len(x), bool)
-                found.append(np.stack((a[x], b[y], s[x, y]), axis=1)[keep])
-
-    def join(self, members: np.ndarray, found: list[np.ndarray]) -> None:
-        """All pairs at or above the threshold, some perhaps more than once."""
-        if len(members) <= CELL_ROWS:
-            self.brute(members, found)
-            return
-        pivots = [members[0]]
-        distance = 1 - self.similarity(members, np.array(pivots))
-        while len(pivots) < PIVOTS and distance.min(axis=1).max() > 0:
-            pivots.append(members[int(distance.min(axis=1).argmax())])
-            distance = np.concatenate((distance, 1 - self.similarity(members, np.array(pivots[-1:]))), axis=1)
-        inside = distance <= distance.min(axis=1, keepdims=True) + 2 * self.eps + 1e-6
-        if inside.sum(axis=0).max() > 0.8 * len(members):
-            self.brute(members, found)
+
+def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Connect x[i] with y[i]; label is the least row that each row is connected with."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
             return
-        for k in range(len(pivots)):
-            self.join(members[inside[:, k]], found)
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+class Region:
+    """Sets of a region in Voronoi cells, their links, and the sets that they are connected with."""
+
+    def __init__(self, grams_: list[np.ndarray], size: np.ndarray, weight: np.ndarray, smaller: list[np.ndarray], threshold: float, strangers: bool = False) -> None:
+        """smaller: the pivots, less than this region's, in whose regions a set takes part too."""
+        self.bags, self.others = _Bags(grams_, strangers), _Bags(smaller, strangers)
+        self.size, self.weight, self.threshold, self.eps = size, weight, threshold, 1 - threshold
+        self.links = np.zeros(len(size), dtype=np.int64)
+        self.label = np.arange(len(size))
+        self.tried = 0
+        self.cells = self._cells()
+
+    def _distance(self, a: tuple, size_a: np.ndarray, b: tuple, size_b: np.ndarray) -> np.ndarray:
+        shared = self.bags.common(a, b).astype(float)
+        return 1 - shared / np.maximum(size_a[:, None] + size_b[None, :] - shared, 1)
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._distance(self.bags.entries(a), self.size[a], self.bags.entries(b), self.size[b])
+
+    def _cells(self) -> list[tuple[int, float, float, np.ndarray]]:
+        """(pivot, least and greatest distance to it, rows); every row is in one cell."""
+        out: list[tuple[int, float, float, np.ndarray]] = []
+        todo = [np.arange(len(self.size))]
+        reach = self.threshold / 2
+
+        def close(rows: np.ndarray, pivot: int) -> None:
+            for k in range(0, len(rows), CELL_ROWS):
+                part = rows[k : k + CELL_ROWS]
+                if len(self.size) <= CELL_ROWS:
+                    out.append((pivot, 0.0, 1.0, part))  # the only cell
+                    continue
+                d = self.distance(part, np.array([pivot]))[:, 0]
+                out.append((pivot, float(d.min()), float(d.max()), part))
+
+        while todo:
+            rows = todo.pop()
+            if len(rows) <= CELL_ROWS:
+                close(rows, int(rows[0]))
+                continue
+            pivots = [int(rows[0])]
+            d = self.distance(rows, np.array(pivots))
+            while len(pivots) < PIVOTS and d.min(axis=1).max() > 0:
+                pivots.append(int(rows[int(d.min(axis=1).argmax())]))
+                d = np.concatenate((d, self.distance(rows, np.array(pivots[-1:]))), axis=1)
+            home = np.where(d.min(axis=1) <= reach, d.argmin(axis=1), -1)
+            for k in range(-1, len(pivots)):
+                part = rows[home == k]
+                if not len(part):
+                    continue
+                if len(part) > 0.9 * len(rows):
+                    # it doesn't divide; the order of distance at least keeps cells narrow
+                    near = d.min(axis=1)[home == k] if k < 0 else d[home == k, k]
+                    part = part[np.argsort(near, kind="stable")]
+                    for c in range(0, len(part), CELL_ROWS):
+                        some = part[c : c + CELL_ROWS]
+                        close(some, int(some[0]) if k < 0 else pivots[k])
+                else:
+                    todo.append(part)
+        return out
+
+    def _window(self, d: np.ndarray, low: float, high: float) -> np.ndarray:
+        return np.flatnonzero((d >= low - self.eps - 1e-6) & (d <= high + self.eps + 1e-6))
+
+    def _similar(self, a: tuple, size_a: np.ndarray, other_a: tuple, b: tuple, size_b: np.ndarray, other_b: tuple) -> np.ndarray:
+        """Which pairs are similar and belong to this region."""
+        self.tried += a[0] * b[0]
+        shared = self.bags.common(a, b).astype(float)
+        near = shared >= (self.threshold - 1e-9) * (size_a[:, None] + size_b[None, :] - shared)
+        if near.any():
+            near &= self.others.common(other_a, other_b) == 0
+        return near
+
+    def _meet(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        near = self._similar(self.bags.entries(a), self.size[a], self.others.entries(a), self.bags.entries(b), self.size[b], self.others.entries(b))
+        if same:
+            near[np.arange(len(a)), np.arange(len(a))] = False
+        self.links[a] += near @ self.weight[b]
+        if not same:
+            self.links[b] += near.T @ self.weight[a]
+        x, y = np.nonzero(near)
+        _union(self.label, a[x], b[y])
+
+    def join(self) -> None:
+        """All pairs of the region's own rows."""
+        pivots = np.array([c[0] for c in self.cells])
+        d = self.distance(np.arange(len(self.size)), pivots) if len(self.cells) > 1 else None
+        for i, (_, low, high, rows) in enumerate(self.cells):
+            self._meet(rows, rows, True)
+            if len(later := [c[3] for c in self.cells[i + 1 :]]):
+                other = np.concatenate(later)
+                other = other[self._window(d[other, i], low, high)]
+                for k in range(0, len(other), CELL_ROWS):
+                    self._meet(rows, other[k : k + CELL_ROWS], False)
+
+    def pass_by(self, grams_: list[np.ndarray], size: np.ndarray, weight: np.ndarray, smaller: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Links of rows from outside with the region's own, and one of these for each (-1: none)."""
+        all_, others = self.bags.outside(grams_), self.others.outside(smaller)
+        pivots = np.array([c[0] for c in self.cells])
+        d = self._distance(all_, size, self.bags.entries(pivots), self.size[pivots])
+        links, first = np.zeros(len(size), dtype=np.int64), np.full(len(size), -1)
+
+        def part(e: tuple, rows: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+            number = np.full(e[0], -1)
+            number[rows] = np.arange(len(rows))
+            keep = number[e[1]] >= 0
+            return len(rows), number[e[1][keep]], e[2][keep]
+
+        for i, (_, low, high, rows) in enumerate(self.cells):
+            some = self._window(d[:, i], low, high)
+            if not len(some):
+                continue
+            near = self._similar(self.bags.entries(rows), self.size[rows], self.others.entries(rows), part(all_, some), size[some], part(others, some))
+            self.links[rows] += near @ weight[some]
+            links[some] += near.T @ self.weight[rows]
+            x, y = np.nonzero(near.T)
+            at = some[x]
+            lead = np.flatnonzero(np.diff(at, prepend=-1))
+            fresh = lead[first[at[lead]] < 0]
+            first[at[fresh]] = rows[y[fresh]]
+            _union(self.label, first[at], rows[y])
+        return links, first
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -399,73 +513,68 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _region_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets, from rows pivot, i, j, set, grams; blocks i and j of a large region meet."""
+def _region_links(members: DataFrame, threshold: float) -> DataFrame:
+    """set, root and links, from rows pivot, part, away, parts, set, weight, size, smaller, grams.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, 3):
-            sets, first = np.unique(rows.column("set").to_numpy(), return_index=True)
-            if len(sets) < 2:
-                continue
-            grams_of = rows.column("grams").take(pa.array(first)).to_pylist()
-            region = _Region(grams_of, threshold)
-            everyone = np.arange(len(sets))
-            at = int(np.searchsorted(sets, rows.column("pivot")[0].as_py()))
-            if at < len(sets) and sets[at] == rows.column("pivot")[0].as_py() and len(sets) > 2:
-                # windows around the pivot: those within eps of each other in distance to it
-                d = 1 - region.similarity(everyone, np.array([at]))[:, 0]
-                order = np.argsort(d, kind="stable")
-                gap = np.flatnonzero(np.diff(d[order]) > region.eps + 1e-6)
-                cells = np.split(everyone[order], gap + 1)
-            else:
-                cells = [everyone]
-            found: list[np.ndarray] = []
-            for cell in cells:
-                if len(cell) > 1:
-                    region.join(np.sort(cell), found)
-            if found:
-                pair = np.concatenate(found)
-                _, once = np.unique(pair[:, 0] * len(sets) + pair[:, 1], return_index=True)
-                pair = pair[once]
-                yield pa.RecordBatch.from_arrays([pa.array(sets[pair[:, 0].astype(int)]), pa.array(sets[pair[:, 1].astype(int)]), pa.array(np.round(pair[:, 2].astype(float), 6))], names=["a", "b", "jaccard"])
-
-    return members.mapInArrow(run, "a bigint, b bigint, jaccard double")
-
-
-def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard) of distinct n-gram sets, a < b, and the members (set, doc_id)."""
-    docs = _ids(docs)
-    counted = _shared_counts(docs, n)
-    members = counted.select("set", "doc_id").distinct()
-    # the documents a partner of which must have most of their n-grams; copies by the least id
-    rep = counted.where(F.col("shared") >= F.ceil(F.lit(threshold) * F.col("size") - 1e-9)).groupBy("set").agg(F.min("doc_id").alias("rep"))
-    rep = cut(rep)
-    edges = _links(docs, rep, threshold, n)
-    tied = edges.union(edges.select("pivot", "pivot").distinct())
-    blocks = F.ceil(F.col("rows") / REGION_ROWS * 2).cast("int")
-    large = tied.groupBy("pivot").agg(F.count("*").alias("rows")).where(F.col("rows") > REGION_ROWS).select("pivot", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    tied = (
-        tied.join(large, "pivot", "left")
-        .withColumn("own", F.coalesce(own, F.lit(0)))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        .select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set")
-    )
-    needed = rep.join(tied.select("set").distinct(), "set", "left_semi")
-    sets = _wanted_sets(docs, needed, n, _bodies, "set bigint, rep bigint, grams binary")
-    rows = tied.join(rep, "set").join(sets, ["set", "rep"]).select("pivot", "i", "j", "set", "grams")
-    rows = rows.repartition(partitions(docs.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return cut(_region_pairs(rows, threshold).dropDuplicates(["a", "b"])), members
+    Rows of a part come before those that only pass by (``away``), which are never held.
+    """
+    columns = ["set", "root", "links"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, region, sets, passed = None, [], None, np.zeros(0, np.int64), []
+
+        def lists(rows: pa.Table | pa.RecordBatch, name: str) -> list[np.ndarray]:
+            if name == "grams":
+                return [np.frombuffer(x, np.uint64).view(np.int64) for x in rows.column(name).to_pylist()]
+            return [np.array(x, np.int64) for x in rows.column(name).to_pylist()]
+
+        def numbers(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+            return rows.column(name).to_numpy()
+
+        def start() -> None:
+            nonlocal region, sets, held
+            rows = pa.Table.from_batches(held).sort_by("set")
+            held = []
+            sets = numbers(rows, "set")
+            if len(sets) > 1 or numbers(rows, "parts")[0] > 1:
+                region = Region(lists(rows, "grams"), numbers(rows, "size"), numbers(rows, "weight"), lists(rows, "smaller"), threshold, bool(numbers(rows, "parts")[0] > 1))
+                region.join()
+
+        def end() -> Iterator[pa.RecordBatch]:
+            nonlocal region, passed
+            if held:
+                start()
+            if region is not None:
+                some = np.flatnonzero(region.links)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[some], sets[region.label[some]], region.links[some])], names=columns)
+                for own, first, links in passed:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, sets[region.label[first]], links)], names=columns)
+            region, passed = None, []
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """All pairs doc_a < doc_b whose n-gram sets have at least the threshold's Jaccard similarity."""
-    pairs, members = similar_sets(docs, threshold, n)
-    left, right = members.toDF("a", "doc_a"), members.toDF("b", "doc_b")
-    near = pairs.join(left, "a").join(right, "b").select("doc_a", "doc_b", "jaccard")
-    same = left.join(right.withColumnRenamed("b", "a"), "a").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    both = near.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard").where("doc_a < doc_b")
-    return both.union(same)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([np.asarray(batch.column(c)) for c in range(3)], axis=1)
+            bounds = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1), [True])))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if tuple(k[a, :2]) != key:
+                    yield from end()
+                    key = tuple(k[a, :2])
+                if not k[a, 2]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if held:
+                    start()
+                if region is None:
+                    continue  # a part without rows of its own
+                for lo in range(a, b, CELL_ROWS):
+                    rows = batch.slice(lo, min(CELL_ROWS, b - lo))
+                    links, first = region.pass_by(lists(rows, "grams"), numbers(rows, "size"), numbers(rows, "weight"), lists(rows, "smaller"))
+                    if (hit := np.flatnonzero(first >= 0)).size:
+                        passed.append((numbers(rows, "set")[hit], first[hit], links[hit]))
+        yield from end()
+
+    return members.mapInArrow(run, "set bigint, root bigint, links bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -489,27 +598,62 @@ def components(edges: DataFrame) -> DataFrame:
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
 
 
-def duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """doc_id of all documents but the least of each group of similar ones."""
-    pairs, members = similar_sets(docs, threshold, n)
-    group = components(pairs.select("a", "b")).toDF("set", "root")
-    rooted = members.join(group, "set", "left").select(F.coalesce("root", "set").alias("root"), "doc_id").distinct()
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    return rooted.join(first, "root").where("doc_id <> first").select("doc_id").distinct()
+def _linked(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """All documents' sets, and (doc_id, class_id, links) of those that can have a partner."""
+    spark = docs.sparkSession
+    counted = candidate_sets(docs, threshold, n)
+    able = counted.where("grams is not null")
+    members = able.select("set", "doc_id").distinct()
+    weight = members.groupBy("set").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
+    body = able.groupBy("set").agg(F.min_by(F.struct("size", "take", "grams"), "doc_id").alias("s"))
+    sets = cut(weight.join(body, "set").select("set", "weight", "least", "s.size", "s.take", "s.grams"))
+    ties = cut(_ties(sets))
+    parts = F.ceil(F.count("*") / REGION_ROWS).cast("int")
+    regions = ties.groupBy("pivot").agg(parts.alias("parts")).where("parts > 1")
+    smaller = ties.groupBy("set").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
+    own = F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int")
+    # a part meets its own sets and those of later parts
+    placed = (
+        ties.join(F.broadcast(regions) if _few(regions) else regions, "pivot", "left")
+        .select("pivot", "set", own.alias("own"), F.coalesce("parts", F.lit(1)).alias("parts"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("own"))))
+        .select("pivot", "part", (F.col("part") < F.col("own")).cast("int").alias("away"), "parts", "set")
+    )
+    rows = placed.join(sets.join(smaller, "set"), "set").select("pivot", "part", "away", "parts", "set", "weight", "size", F.filter("pivots", lambda p: p < F.col("pivot")).alias("smaller"), "grams")
+    rows = rows.repartition(partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "away")
+    found = cut(_region_links(rows, threshold))
+    roots = components(found.select(F.col("set").alias("a"), F.col("root").alias("b"))).toDF("set", "root")
+    links = found.groupBy("set").agg(F.sum("links").alias("links"))
+    known = sets.select("set", "weight", "least").join(links, "set", "left").join(roots, "set", "left")
+    known = known.select("set", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "set").alias("root"))
+    first = known.groupBy("root").agg(F.min("least").alias("class_id"))
+    return counted, members.join(known.join(first, "root").select("set", "class_id", "links"), "set").select("doc_id", "class_id", "links")
+
+
+def _few(df: DataFrame, most: int = 100_000) -> bool:
+    """Whether the rows, of a few numbers each, may be sent to all tasks."""
+    return df.limit(most + 1).count() <= most
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """doc_id, class_id and links of every document."""
+    counted, linked = _linked(docs, threshold, n)
+    alone = counted.where("grams is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")).distinct()
+    return linked.union(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """The rows of docs without all but one document of each group, with all their columns."""
-    gone = duplicates(docs, threshold, n).select(F.col("doc_id").alias("__gone"))
+    """The rows of docs without all but the least document of each class, with all their columns."""
+    gone = _linked(docs, threshold, n)[1].where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = """
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), g AS (
@@ -521,9 +665,17 @@ WITH w AS (
 ), size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 shared AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
-  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, round(k / (x.n + y.n - k), 6) AS jaccard
-FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b
-WHERE k / (x.n + y.n - k) >= 0.5 - 1e-9
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS MATERIALIZED (
+  SELECT doc_a, doc_b FROM shared JOIN size x ON x.doc_id = doc_a JOIN size y ON y.doc_id = doc_b
+  WHERE k / (x.n + y.n - k) >= 0.5 - 1e-9
+), reach(doc_id, other) AS (
+  SELECT doc_a, doc_b FROM link
+  UNION
+  SELECT r.doc_id, l.doc_b FROM reach r JOIN link l ON l.doc_a = r.other
+), class AS (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id),
+links AS (SELECT doc_a AS doc_id, count(*) AS links FROM link GROUP BY doc_a)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, coalesce(l.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+LEFT JOIN class c USING (doc_id) LEFT JOIN links l USING (doc_id)
 """

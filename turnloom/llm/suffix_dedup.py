@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Packer, cut, exchange, partitions, table
-from .ngram_join import FILTER_KEYS, _filter_bits, _groups, _passes
+from .common import BLOCK, Filter, Packer, cut, exchange, partitions, table
+from .ngram_join import _groups
 from .suffix_array import suffix_array
 from .textbatch import Words, gram_positions, grams, mix, order_by_hash, ranges, runs, slices, words
 
@@ -141,14 +141,11 @@ def _occurrences(docs: DataFrame, least: int, anchor: int) -> DataFrame:
 def _segments(docs: DataFrame, occurrences: DataFrame, least: int) -> DataFrame:
     """The words, as hashes, of the first occurrence of each content that must be sorted."""
     wanted = occurrences.where("first and sort").groupBy("doc").agg(F.collect_list(F.struct("text", "start", "windows", "anchor", "content")).alias("wanted"))
-    ids, bits = wanted.select("doc"), None
-    if ids.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
-        bits = _filter_bits(mix(ids.toArrow().column(0).to_numpy().view(np.uint64)))
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(Filter(occurrences.where("first and sort").select("doc").distinct()))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_passes(held.value, mix(np.asarray(batch.column(0)).view(np.uint64)))))
+            yield batch.filter(pa.array(held.value.passes(np.asarray(batch.column(0)))))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
