@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from turnloom.llm import graph_search, pivot_search
+from turnloom.llm.vectors import asked
 
 from .helpers import vectors
 
@@ -46,17 +49,53 @@ def test_pivot_search_is_exact(spark, shard_rows):
         assert [d for d, _ in got[q]] == pytest.approx([d for d, _ in want[q]], abs=1e-6)
 
 
+def shard(v: np.ndarray, n_pivots: int = 16) -> tuple[pivot_search.Shard, np.ndarray]:
+    pivots = pivot_search.choose_pivots(v, n_pivots)
+    d = pivot_search.to_pivots(v, pivots)
+    return pivot_search.Shard(np.arange(len(v)), v, d), d
+
+
+def nearest(v: np.ndarray, q: int, k: int) -> list[int]:
+    exact = np.round(np.sqrt(((v - v[q]) ** 2).sum(axis=1)), 6)
+    exact[q] = np.inf
+    return np.lexsort((np.arange(len(v)), exact))[:k].tolist()
+
+
 def test_elimination_evaluates_few_candidates():
+    """In few dimensions the bounds leave a small part of the pairs, in the order of which they are exact."""
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(2000, 3))
-    pivots = pivot_search.choose_pivots(v, 16)
-    d = pivot_search.to_pivots(v, pivots)
-    ids = np.arange(2000)
-    q, n, dist = pivot_search.search(ids[:5], v[:5], d[:5], ids, v, d, 4, np.full(5, np.inf))
-    for k in range(5):
-        exact = np.round(np.sqrt(((v - v[k]) ** 2).sum(axis=1)), 6)
-        exact[k] = np.inf
-        assert n[q == k].tolist() == np.lexsort((ids, exact))[:4].tolist()
+    v = rng.normal(size=(20000, 3))
+    ready, d = shard(v)
+    some = np.arange(0, 20000, 200)
+    q, n, _ = ready.search(some, v[some], d[some], 4, np.full(len(some), np.inf))
+    for k in some:
+        assert n[q == k].tolist() == nearest(v, k, 4)
+    assert ready.evaluated < 0.25 * len(some) * len(v)
+
+
+@given(st.floats(-3, 6), st.floats(-3, 6), st.integers(0, 99), st.sampled_from([3, 8, 64]))
+@settings(max_examples=60, deadline=None)
+def test_exact_at_any_scale_and_offset(scale, offset, seed, dim):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dim))
+    v = (centres[rng.integers(0, 6, 900)] + 0.2 * rng.normal(size=(900, dim))) * 10.0**scale + 10.0**offset
+    v[100:110] = v[:10]
+    ready, d = shard(v)
+    some = np.arange(0, 900, 20)
+    for limit in (np.full(len(some), np.inf), np.array([np.round(np.sqrt(((v - v[i]) ** 2).sum(axis=1)), 6)[nearest(v, i, 7)[-1]] for i in some])):
+        q, n, _ = ready.search(some, v[some], d[some], 5, limit)
+        for k in some:
+            assert n[q == k].tolist() == nearest(v, k, 5)
+
+
+def test_only_the_rows_asked_for_are_queries(spark):
+    rows = clustered(7, 300)
+    want = {q: [n for _, n in x] for q, x in brute(rows, 10).items() if q % 20 == 0}
+    got = collected(pivot_search.top_k(vectors(spark, rows), 10, 8, 64, choose=asked))
+    assert {q: [n for _, n in x] for q, x in got.items()} == want
+    got = collected(graph_search.search(vectors(spark, rows), 10, 64, choose=asked))
+    assert set(got) == set(want)
+    assert sum(len({n for _, n in got[q]} & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
 
 
 AWKWARD = [
@@ -65,13 +104,13 @@ AWKWARD = [
 ]
 
 
-@pytest.mark.parametrize("search", [pivot_search.top_k, graph_search.neighbours_of_all])
+@pytest.mark.parametrize("search", [pivot_search.top_k, graph_search.search])
 def test_awkward_rows(spark, search):
     want = brute([r for r in AWKWARD if r[0] is not None and r[0] >= 10], 3)
     assert collected(search(vectors(spark, AWKWARD, extra=True), k=3)) == want
 
 
-@pytest.mark.parametrize("search", [pivot_search.top_k, graph_search.neighbours_of_all])
+@pytest.mark.parametrize("search", [pivot_search.top_k, graph_search.search])
 def test_few_rows_and_none(spark, search):
     assert search(vectors(spark, [])).count() == 0
     assert search(vectors(spark, [(1, [1.0])])).count() == 0
@@ -81,7 +120,7 @@ def test_few_rows_and_none(spark, search):
 @pytest.mark.parametrize("shard_rows", [300, 8192])
 def test_graph_recall(spark, shard_rows):
     rows = clustered(3, 1500, 24)
-    got = collected(graph_search.neighbours_of_all(vectors(spark, rows), 10, shard_rows))
+    got = collected(graph_search.search(vectors(spark, rows), 10, shard_rows))
     want = brute(rows, 10)
     hits = sum(len({n for _, n in got[q]} & {n for _, n in want[q]}) for q in want)
     assert hits / (10 * len(want)) >= 0.9
@@ -90,7 +129,7 @@ def test_graph_recall(spark, shard_rows):
 def test_graph_recall_on_the_embeddings(spark, small):
     e = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in e.collect()]
-    got = collected(graph_search.neighbours_of_all(e))
+    got = collected(graph_search.search(e))
     want = brute(rows, 10)
     assert sum(len({n for _, n in got[q]} & {n for _, n in want[q]}) for q in want) / (10 * len(want)) >= 0.9
 
@@ -104,7 +143,7 @@ def test_graph_recall_among_equal_vectors(spark, copies):
     v = (v / np.sqrt((v**2).sum(axis=1, keepdims=True))).astype(np.float32)
     order = rng.permutation(len(v))
     rows = [(int(k), [float(x) for x in v[i]]) for k, i in enumerate(order)]
-    got = collected(graph_search.neighbours_of_all(vectors(spark, rows)))
+    got = collected(graph_search.search(vectors(spark, rows)))
     want = brute(rows, 10)
     for group in (order < 600, order >= 600):
         members = np.flatnonzero(group).tolist()

@@ -7,13 +7,19 @@ one stays, and with it go those that are nearer to it, times ``alpha``, than to
 also point back, and lists that grow too long are pruned likewise.  A query runs a beam search in
 each shard, and the nearest of all shards are its result.
 
-Defined results are those of ``pivot_search``; a vector is no neighbour of its own id.
+Defined results
+  null id, null or empty vector, null, NaN or infinite component, a length other than the
+    commonest: the row is no query and no candidate
+  repeated ids: a vector is no neighbour of a row with its own id; an id is listed once a distance
+  repeated vectors under other ids: neighbours at distance 0, the lower ids first
+  fewer than k others: as many as there are; empty table: no rows; extra columns: ignored
+
 All steps are seeded, so a shard that is built again is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .vectors import NEIGHBOURS, best, matrix, neighbours, stream, usable
+from .vectors import NEIGHBOURS, asked, best, matrix, neighbours, stream, usable
 
 K, DEGREE, BUILD_BEAM, QUERY_BEAM, ALPHA, SHARD_ROWS = 10, 32, 64, 48, 1.2, 8192
 #: Vectors searched at once, and beam entries expanded at once.
@@ -149,8 +155,11 @@ def vertices(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return v[by[np.sort(first)]], np.ascontiguousarray(pairs[:, 1]), np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
 
 
-def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
-    """query_id, neighbour_id, distance and rank: about the k nearest others of every vector."""
+def search(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM, choose: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """query_id, neighbour_id, distance and rank: about the k nearest others of every vector, or of those that ``choose`` keeps.
+
+    All vectors are indexed, whichever are asked for.
+    """
     rows = cut(usable(embeddings))
     total = rows.count()
     n_shards = max(1, -(-total // shard_rows))
@@ -164,7 +173,7 @@ def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD
         return pd.DataFrame({"shard": [int(data["shard"].iloc[0])], "vec_id": [0], "v": [[]], "extra": [body]})
 
     graphs = cut(shards.groupBy("shard").applyInPandas(make, "shard int, vec_id bigint, v array<double>, extra binary"))
-    queries = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "vec_id", "v", F.lit(None).cast("binary").alias("extra"))
+    queries = choose(rows).select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), "vec_id", "v", F.lit(None).cast("binary").alias("extra"))
 
     def prepare(data: pa.Table) -> tuple:
         body = data.column("extra")[0].as_py()
@@ -192,8 +201,8 @@ def neighbours_of_all(embeddings: DataFrame, k: int = K, shard_rows: int = SHARD
             exact = np.sqrt(((v[hit].astype(float) - q[row]) ** 2).sum(axis=1))
             yield neighbours(q_id[row], near, np.round(exact, 6))
 
-    return best(stream(graphs, queries, dict.fromkeys(range(n_shards), total), prepare, answer, NEIGHBOURS), k)
+    return best(stream(graphs, queries, prepare, answer, NEIGHBOURS), k)
 
 
 def op5_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours_of_all(table(spark, sf_dir, "embeddings"))
+    return search(table(spark, sf_dir, "embeddings"), choose=asked)
