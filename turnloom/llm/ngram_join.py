@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ _SIG = np.dtype([("gram", "<u8"), ("set", "<u8")])
 _INFO = np.dtype([("doc", "<i8"), ("set", "<u8"), ("size", "<u4")])
 #: n-grams of a batch of documents, roughly.
 BATCH_GRAMS = 1 << 20
-_LOW = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << 40) - 1)
 
 
 def _sets(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +97,16 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
 
 
-def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """The (kind, body) of each batch of documents, from rows sorted by batch."""
+def _by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """The (bucket, kind, body) of each batch of documents, from rows sorted by batch."""
     name, held = None, []
     for got in batches:
-        for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
+        for bucket, batch, kind, body in zip(*[c.to_pylist() for c in got.columns], strict=True):
             if held and batch != name:
                 yield name, held
                 held = []
             name = batch
-            held.append((kind, body))
+            held.append((bucket, kind, body))
     if held:
         yield name, held
 
@@ -114,7 +115,7 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     """doc_id, set, size, take and grams of each document; grams is null where it can have no partner.
 
     grams are the n-grams that other documents have too, the rarest first, of which the first
-    ``take`` tie the set to regions.  n-grams travel in batches of documents, 8 bytes each: 48 bits of
+    ``take`` tie the set to regions.  n-grams travel in batches of documents, 7 bytes each: 40 bits of
     hash besides those that choose the task, and the document's place in its batch.  One that a batch
     holds often (a passage of many copies) travels once with its count, and waits at the batch.
     """
@@ -146,7 +147,8 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
                     yield rows([b], batch, 2, [(found[mine] & _LOW).tobytes() + count[mine].astype(np.uint32).tobytes()])
-                yield rows([home], batch, 3, [(value[hot] & _LOW).tobytes() + place[hot].tobytes()])
+                full = (value[hot] & _LOW) | ((value[hot] >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(40)
+                yield rows([home], batch, 3, [full.tobytes() + place[hot].tobytes()])
                 rest = np.ones(len(value), bool)
                 rest[hot] = False
                 value, place = value[rest], place[rest]
@@ -154,7 +156,7 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
         order = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         value, place = value[order], place[order]
-        low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint16)
+        low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint8)
         some = np.flatnonzero(np.diff(bounds)).tolist()
         for k in range(0, len(some), 64):
             yield rows(some[k : k + 64], batch, 1, [b"".join(x[bounds[b] : bounds[b + 1]].tobytes() for x in (low, high, place)) for b in some[k : k + 64]])
@@ -180,6 +182,7 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, values, places, weights = [], [], [], []
+        task = TaskContext.get().partitionId()
         for got in batches:
             for batch, kind, body in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
                 if kind in (0, 3):
@@ -187,9 +190,9 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
                     continue
                 names.append((batch, kind))
                 if kind == 1:
-                    k = len(body) // 8
-                    values.append(np.frombuffer(body, np.uint32, k).astype(np.uint64) | (np.frombuffer(body, np.uint16, k, 4 * k).astype(np.uint64) << np.uint64(32)))
-                    places.append(np.frombuffer(body, np.uint16, k, 6 * k))
+                    k = len(body) // 7
+                    values.append(np.frombuffer(body, np.uint32, k).astype(np.uint64) | (np.frombuffer(body, np.uint8, k, 4 * k).astype(np.uint64) << np.uint64(32)))
+                    places.append(np.frombuffer(body, np.uint16, k, 5 * k))
                     weights.append(np.ones(k, np.uint32))
                 else:
                     k = len(body) // 12
@@ -199,7 +202,7 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
         if not names:
             return
         value = np.concatenate(values)
-        order = order_by_hash(value << np.uint64(16))
+        order = order_by_hash(value << np.uint64(24))
         bounds = runs(value[order])
         count = np.add.reduceat(np.concatenate(weights)[order], bounds[:-1], dtype=np.int64)
         # eight steps of rarity a doubling
@@ -210,30 +213,32 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
             r = rarity[at : at + len(v)]
             at += len(v)
             if kind == 2:
-                yield rows([0], batch, 2, [v.tobytes() + r.tobytes()])
+                yield rows([task], batch, 2, [v.tobytes() + r.tobytes()])
             elif (shared := r > 0).any():
-                yield rows([0], batch, 1, [v[shared].tobytes() + place[shared].tobytes() + r[shared].tobytes()])
+                v = v[shared]
+                yield rows([task], batch, 1, [v.astype(np.uint32).tobytes() + (v >> np.uint64(32)).astype(np.uint8).tobytes() + place[shared].tobytes() + r[shared].tobytes()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, items in _by_batch(batches):
             info, often_value, often_rarity, waiting = None, [], [], []
             value, place, rarity = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
-            for kind, body in items:
+            for bucket, kind, body in items:
+                # the whole hash, with the bits that chose the task
+                task = np.uint64(bucket) << np.uint64(40)
                 if kind == 0:
                     info = np.frombuffer(body, _INFO)
                 elif kind == 1:
-                    k = len(body) // 11
-                    value.append(np.frombuffer(body, np.uint64, k))
-                    place.append(np.frombuffer(body, np.uint16, k, 8 * k))
-                    rarity.append(np.frombuffer(body, np.uint8, k, 10 * k))
+                    k = len(body) // 8
+                    value.append(np.frombuffer(body, np.uint32, k).astype(np.uint64) | (np.frombuffer(body, np.uint8, k, 4 * k).astype(np.uint64) << np.uint64(32)) | task)
+                    place.append(np.frombuffer(body, np.uint16, k, 5 * k))
+                    rarity.append(np.frombuffer(body, np.uint8, k, 7 * k))
                 elif kind == 2:
                     k = len(body) // 9
-                    often_value.append(np.frombuffer(body, np.uint64, k))
+                    often_value.append(np.frombuffer(body, np.uint64, k) | task)
                     often_rarity.append(np.frombuffer(body, np.uint8, k, 8 * k))
                 else:
                     waiting.append(body)
             if waiting:
-                # two values that differ only in their bucket's bits are taken for one
                 known, first = np.unique(np.concatenate(often_value), return_index=True)
                 rare = np.concatenate(often_rarity)[first]
                 for body in waiting:
