@@ -267,7 +267,7 @@ def candidate_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
 
 
 def _ties(sets: DataFrame) -> DataFrame:
-    """(set, pivot): the set takes part in the pivot's region; pivots in their own."""
+    """(set, pivot): the set takes part in the pivot's region; pivots in their own.  Copies give the same rows."""
     buckets = partitions(sets.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -609,10 +609,9 @@ def _linked(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataF
     counted = candidate_sets(docs, threshold, n)
     able = counted.where("grams is not null")
     members = able.select("set", "doc_id").distinct()
-    weight = members.groupBy("set").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"))
-    body = able.groupBy("set").agg(F.min_by(F.struct("size", "take", "grams"), "doc_id").alias("s"))
-    sets = cut(weight.join(body, "set").select("set", "weight", "least", "s.size", "s.take", "s.grams"))
-    ties = cut(_ties(sets))
+    weight = cut(members.groupBy("set").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least")))
+    body = able.groupBy("set").agg(F.min_by(F.struct("size", "grams"), "doc_id").alias("s"))
+    ties = cut(_ties(able))
     parts = F.ceil(F.count("*") / REGION_ROWS).cast("int")
     regions = ties.groupBy("pivot").agg(parts.alias("parts")).where("parts > 1")
     smaller = ties.groupBy("set").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
@@ -624,12 +623,14 @@ def _linked(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataF
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("own"))))
         .select("pivot", "part", (F.col("part") < F.col("own")).cast("int").alias("away"), "parts", "set")
     )
-    rows = placed.join(sets.join(smaller, "set"), "set").select("pivot", "part", "away", "parts", "set", "weight", "size", F.filter("pivots", lambda p: p < F.col("pivot")).alias("smaller"), "grams")
+    # n-grams of a set move twice: to one row a set, and from there to its regions
+    rows = placed.join(smaller.join(weight, "set").join(body, "set"), "set")
+    rows = rows.select("pivot", "part", "away", "parts", "set", "weight", "s.size", F.filter("pivots", lambda p: p < F.col("pivot")).alias("smaller"), "s.grams")
     rows = rows.repartition(partitions(spark), "pivot", "part").sortWithinPartitions("pivot", "part", "away")
     found = cut(_region_links(rows, threshold))
     roots = components(found.select(F.col("set").alias("a"), F.col("root").alias("b"))).toDF("set", "root")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
-    known = sets.select("set", "weight", "least").join(links, "set", "left").join(roots, "set", "left")
+    known = weight.join(links, "set", "left").join(roots, "set", "left")
     known = known.select("set", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "set").alias("root"))
     first = known.groupBy("root").agg(F.min("least").alias("class_id"))
     return counted, members.join(known.join(first, "root").select("set", "class_id", "links"), "set").select("doc_id", "class_id", "links")
@@ -649,7 +650,9 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = N)
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of docs without all but the least document of each class, with all their columns."""
-    gone = _linked(docs, threshold, n)[1].where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(_linked(docs, threshold, n)[1].where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct())
+    # a million ids are 8 MB; beyond, the texts are joined by id
+    gone = F.broadcast(gone) if _few(gone, 1_000_000) else gone
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__gone"], "left_anti")
 
 
