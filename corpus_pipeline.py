@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir) and returns the rows that the next one wo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import language_id, mixing, ngram_join, packing, suffix_dedup
-from turnloom.llm.common import shared_folder, table
+from turnloom.llm.common import table, temporary_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; between stages they are a table in the cluster's shared folder."""
     docs = table(spark, sf_dir, "documents")
-    path = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    path = temporary_table(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +35,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def temporary_table(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a table that results still read; it is deleted when the program ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_tables() -> None:
+    for spark, path in _tables:
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001
+            # the session has ended; a folder of this machine can still be deleted
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a reliable checkpoint, computed once."""
     shared_folder(df.sparkSession)

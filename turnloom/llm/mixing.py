@@ -18,13 +18,13 @@ Defined results
   repeated rows: each is packed; ties don't arise
   empty table: no blocks, no rows; extra columns: ignored unless named in ``carry``
   very long texts: cut into as many pieces as their tokens need
+  last block of a source: shorter, as is that of each 1024 tasks' left-overs
   weights: of sources without blocks are dropped, the rest count relative to their sum; sources
     without a weight are left out; no weights mean equal ones
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, shared_folder, table
+from .common import cut, partitions, table, temporary_table
 from .textbatch import mix, slices, words
 
 BLOCK, SHARD, SEED = 512, 1024, 17
+#: Shards whose counts are summed as one.
+SPAN = 4096
 #: Rows of the table of index offsets that are broadcast at most, 40 bytes each; beyond, it is joined.
 OFFSET_ROWS = 1_000_000
 
@@ -140,7 +142,7 @@ def _blocks(docs: DataFrame, block: int, carry: Sequence[str]) -> DataFrame:
     used = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"), *[docs[c].cast("string").alias(c) for c in carry])
     spark = docs.sparkSession
     # all of it is needed twice, to number the blocks and to place them
-    path = f"{shared_folder(spark).rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    path = temporary_table(spark, "blocks")
     used.mapInArrow(pack, out).write.partitionBy().parquet(path)
     rest = spark.read.schema(out).parquet(path).where("local < 0")
     spark_rest = rest.groupBy("source", F.floor(F.col("part") / 1024).alias("task_group")).applyInPandas(again, out)
@@ -206,8 +208,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
                 yield pd.DataFrame({"shard": s, "source": names, "count": count, "base": base, "slots": slots})
 
     drawn = spark.range(0, shards, 1, min(max(1, shards), partitions(spark))).mapInPandas(draw, "shard bigint, source string, count bigint, base bigint, slots bigint")
-    before = F.sum("count").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    drawn = drawn.withColumn("start", F.coalesce(before, F.lit(0))).where("count > 0")
+    # how many slots of its source come before, by groups of shards first, so that no task orders all shards
+    drawn = drawn.where("count > 0").withColumn("span", F.floor(F.col("shard") / SPAN))
+    spans = drawn.groupBy("source", "span").agg(F.sum("count").alias("sum"))
+    earlier = F.sum("sum").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("source", "span", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    before = F.sum("count").over(Window.partitionBy("source", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).join(spans, ["source", "span"]).withColumn("start", F.col("earlier") + F.col("before"))
+    # a row becomes up to ``shard`` slots, so rows are spread before
+    drawn = drawn.select("shard", "source", "count", "base", "slots", "start").repartition(min(max(1, shards), partitions(spark)), "shard", "source")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
