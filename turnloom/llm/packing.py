@@ -2,15 +2,20 @@
 
 A sequence is filled greedily with the longest pieces that fit.  Then its smallest piece is
 replaced by two unpacked ones if they fill the gap, expanded by that piece, more tightly.
-Documents are spread by hash over groups of bounded size and packed group by group, so the work
-is in proportion to the documents; lengths are integers, so a step costs as much at any size.
+Documents are spread by hash over groups of about ``GROUP_DOCS`` documents or ``GROUP_BYTES`` of
+text, whichever are more groups, and packed group by group, so the work is in proportion to the
+documents and a task holds one group; lengths are integers, so a step costs as much at any size.
+Within a group documents are in the order of their ids, then of a hash of their texts, so that
+every run gives the same sequences.
 
 Tokens are words, as in ``mixing``.
 
 Defined results
   null doc_id: packed, null in doc_ids; null or empty text: no tokens, not packed
   documents above the capacity: cut into full pieces, each a sequence, and a rest that is packed
-  repeated rows: each is packed; of equal lengths, the one that was read last comes first
+  repeated rows: each is packed
+  ties: of equal lengths the piece that comes last in the order of ids comes first, and one that was
+    put back before all; of pairs that fill a gap alike the one with the shortest piece
   empty table: no rows; extra columns: ignored; very long texts: packed whole
 """
 
@@ -28,7 +33,7 @@ from .common import table
 from .mixing import Pieces, piece_fields, token_edges
 from .textbatch import slices, words
 
-CAPACITY, GROUP_DOCS = 2048, 8192
+CAPACITY, GROUP_DOCS, GROUP_BYTES = 2048, 8192, 32 << 20
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -78,7 +83,8 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """pack_group, bin, used, doc_ids, first_tokens, lengths, texts: the sequences with their pieces."""
-    groups = max(1, -(-docs.count() // group_docs))
+    many = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(docs["text"].cast("string"))).alias("bytes")).first()
+    groups = max(1, -(-many["n"] // group_docs), -(-(many["bytes"] or 0) // GROUP_BYTES))
     arrow, spark_ = piece_fields(())
     schema = pa.schema([*[pa.field(n, pa.int64()) for n in ("pack_group", "bin", "used")], *arrow])
     out = T.StructType([*[T.StructField(n, T.LongType()) for n in ("pack_group", "bin", "used")], *spark_])
@@ -106,7 +112,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
             yield rows.batch(schema)
 
     spread = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-    return spread.repartitionById(groups, F.col("group")).mapInArrow(run, out)
+    spread = spread.repartitionById(groups, F.col("group")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return spread.mapInArrow(run, out)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
