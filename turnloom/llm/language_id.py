@@ -8,6 +8,7 @@ Defined results
   null or empty text, or text without letters: no n-grams, language ``und``
   null doc_id: kept, as any other row; repeated rows: each judged by itself
   equal corrected counts: the language that sorts first
+  more than 64 languages: a mask for every 64
   no labelled rows, or an empty table: no languages are known, every row is ``und``
   very long texts: read whole, in slices that are cut between rows
   extra columns: ignored by ``identify``, passed through by ``keep_identified``
@@ -42,10 +43,10 @@ for _c in range(ord("a"), ord("z") + 1):
 
 @dataclass
 class LanguageFilters:
-    """The slots as one mask each, and the probability that a foreign n-gram hits a language."""
+    """The slots as one mask each for every 64 languages, and the probability that a foreign n-gram hits a language."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false_positive: np.ndarray
 
 
@@ -90,16 +91,16 @@ def _slots(keys: np.ndarray, slots_log2: int) -> list[np.ndarray]:
 
 
 def _plane(texts: pd.Series, slots_log2: int) -> bytes:
-    """The bits of one language: n-grams in at least ``LEAST_ROWS`` of its rows, and in two if rows are many.
+    """The bits of one language: n-grams in at least the share ``LEAST_ROWS`` of its rows.
 
-    The threshold leaves out n-grams of foreign passages within labelled rows.
+    That leaves out n-grams of foreign passages within labelled rows, the more surely the more rows there are.
     """
     seen = []
     for text in texts:
         keys, _ = _ngrams(pa.array([text], pa.string()))
         seen.append(np.unique(keys))
     keys, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
-    keys = keys[count >= (max(2, LEAST_ROWS * len(seen)) if len(seen) >= 20 else 1)]
+    keys = keys[count >= LEAST_ROWS * len(seen)]
     bits = np.zeros(1 << slots_log2, dtype=bool)
     for slot in _slots(keys, slots_log2):
         bits[slot] = True
@@ -109,8 +110,12 @@ def _plane(texts: pd.Series, slots_log2: int) -> bytes:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slots_log2: int = SLOTS_LOG2) -> LanguageFilters:
     """Filters from at most ``sample_rows`` labelled rows a language, chosen by a hash of doc_id."""
     labelled = columns(docs, "doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
+    # a hash leaves twice the sample, so that only so much is ranked
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("__rows"))
+    share = (F.xxhash64("doc_id", F.lit("share")) / 2.0**64 + 0.5) * F.col("__rows") < 2 * sample_rows + 100
+    few = labelled.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("lang", "doc_id")
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("lang", "doc_id")
     # bounded by the parameter times the languages, so it may be broadcast at every size
     sample = labelled.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
 
@@ -119,15 +124,16 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, slots_log2: int = SLO
 
     planes = {r.lang: r.plane for r in sample.groupBy("lang").applyInPandas(fit, "lang string, plane binary").collect()}
     languages = sorted(planes)
-    if len(languages) > 64:
-        raise ValueError("a mask has 64 bits; give labels of at most 64 languages")
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    masks = np.zeros(1 << slots_log2, dtype=kind)
-    fill = []
-    for k, name in enumerate(languages):
-        bits = np.unpackbits(np.frombuffer(bytes(planes[name]), dtype=np.uint8)).astype(bool)
-        masks[bits] |= kind(1 << k)
-        fill.append(bits.mean() ** PROBES)
+    masks, fill = [], []
+    for at in range(0, len(languages), 64):
+        some = languages[at : at + 64]
+        kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(some) <= n)
+        mask = np.zeros(1 << slots_log2, dtype=kind)
+        for k, name in enumerate(some):
+            bits = np.unpackbits(np.frombuffer(bytes(planes[name]), dtype=np.uint8)).astype(bool)
+            mask[bits] |= kind(1 << k)
+            fill.append(bits.mean() ** PROBES)
+        masks.append(mask)
     return LanguageFilters(languages, masks, np.array(fill))
 
 
@@ -138,14 +144,15 @@ def _judge(text: pa.Array, model: LanguageFilters) -> tuple[np.ndarray, np.ndarr
     n_languages = len(model.languages)
     if not n_languages:
         return np.full(len(total), -1), total, np.zeros(len(total)), np.zeros(len(total))
-    slot_log2 = int(len(model.masks)).bit_length() - 1
-    found = None
-    for slot in _slots(keys, slot_log2):
-        hit = model.masks[slot]
-        found = hit if found is None else found & hit
+    slots = _slots(keys, int(len(model.masks[0])).bit_length() - 1)
     share = np.zeros((n_languages, len(total)))
     for k, wrong in enumerate(model.false_positive):
-        bit = ((found >> found.dtype.type(k)) & found.dtype.type(1)).astype(np.uint8)
+        if k % 64 == 0:
+            mask = model.masks[k // 64]
+            found = mask[slots[0]]
+            for slot in slots[1:]:
+                found = found & mask[slot]
+        bit = ((found >> found.dtype.type(k % 64)) & found.dtype.type(1)).astype(np.uint8)
         count = np.diff(np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))[bounds])
         share[k] = np.maximum(0, (count - total * wrong) / max(1e-9, 1 - wrong)) / np.maximum(total, 1)
     best = share.argmax(axis=0)
