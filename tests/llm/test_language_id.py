@@ -44,7 +44,7 @@ def test_popcounts_equal_brute_force(spark):
         keys = L._ngrams(pa.array([rows[r.doc_id][1]]))[0].tolist()
         share = {}
         for lang in sets:
-            least = max(2, L.LEAST_ROWS * size[lang]) if size[lang] >= 20 else 1
+            least = L.LEAST_ROWS * size[lang]
             share[lang] = sum(sets[lang].get(k, 0) >= least for k in keys) / len(keys)
         assert abs(max(share.values()) - r.share) < 0.05
         assert r.n_grams == len(keys)
@@ -87,3 +87,26 @@ def test_tie_goes_to_the_first_language(spark):
     rows = [(k, "same words here again", lang, "web") for k, lang in enumerate(["bb", "aa"])]
     model = L.train(documents(spark, rows))
     assert {r.language for r in L.identify(documents(spark, rows), model).collect()} == {"aa"}
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = random.Random(9)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(70)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(30))
+    model = L.train(documents(spark, [(k, text(lang), lang, "web") for k, lang in enumerate(sorted(words) * 3)]))
+    assert len(model.languages) == 70 and len(model.masks) == 2
+    fresh = [(k, text(lang), lang, "web") for k, lang in enumerate(sorted(words))]
+    got = {r.doc_id: r.language for r in L.identify(documents(spark, fresh), model).collect()}
+    assert [got[k] for k, *_ in fresh] == sorted(words)
+
+
+def test_one_more_labelled_row_changes_little(spark):
+    """Short texts of a language of 19, 20 and 21 labelled rows are told as well each time."""
+    rng = random.Random(10)
+    text = lambda lang, n: " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(3)) for _ in range(n))
+    rows = [(k, text("bb", 5), "bb", "web") for k in range(21)] + [(100 + k, text("aa", 30), "aa", "web") for k in range(60)]
+    fresh = documents(spark, [(k, text("bb", 5)) for k in range(100)])
+    for n in (19, 20, 21):
+        model = L.train(documents(spark, [r for r in rows if r[0] < n or r[0] >= 100]))
+        assert L.identify(fresh, model).where("language = 'bb'").count() >= 97
+
