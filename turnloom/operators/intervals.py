@@ -51,25 +51,29 @@ def overlap_statistics(segments: DataFrame) -> DataFrame:
 
 
 def place(existing: DataFrame, proposals: DataFrame, limit: int | None) -> DataFrame:
-    """rec, offset_us: the earliest allowed start of each proposal (rec, speaker, offset_us, dur_us).
+    """proposal, rec, offset_us: the earliest allowed start of each proposal (proposal, rec, speaker, offset_us, dur_us).
 
     The proposal itself, or the least end of an existing segment after it, at which no more than
-    ``limit`` speakers speak at once while it lasts; else behind the last segment.
+    ``limit`` speakers speak at once while it lasts; else behind the last segment.  Proposals are told
+    apart by ``proposal`` and don't see each other; without that column there is one a recording.
     """
+    if "proposal" not in proposals.columns:
+        return place(existing, proposals.withColumn("proposal", F.col("rec")), limit).drop("proposal")
     if limit is None or limit <= 0:
-        return proposals.select("rec", "offset_us")
+        return proposals.select("proposal", "rec", "offset_us")
+    key = ["proposal", "rec"]
     e = existing.where("dur_us > 0").select("rec", F.col("speaker").alias("e_speaker"), F.col("start_us").alias("e_start"), (F.col("start_us") + F.col("dur_us")).alias("e_end"))
-    ends = proposals.join(e, "rec").where("e_end > offset_us").select("rec", "speaker", "dur_us", F.col("e_end").alias("at"))
-    candidates = proposals.select("rec", "speaker", "dur_us", F.col("offset_us").alias("at")).union(ends).distinct()
+    ends = proposals.join(e, "rec").where("e_end > offset_us").select(*key, "speaker", "dur_us", F.col("e_end").alias("at"))
+    candidates = proposals.select(*key, "speaker", "dur_us", F.col("offset_us").alias("at")).union(ends).distinct()
     # only the other speakers' intervals matter: the new one counts once either way
     inside = candidates.join(e, "rec").where("e_start < at + dur_us and e_end > at and e_speaker <> speaker")
-    clipped = inside.select("rec", "at", F.col("e_speaker").alias("speaker"), F.greatest("e_start", "at").alias("start_us"), (F.least("e_end", F.col("at") + F.col("dur_us")) - F.greatest("e_start", "at")).alias("dur_us"))
-    merged = merge(clipped, 0, ("rec", "at", "speaker"))
-    step = merged.select("rec", "at", F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("s"))
-    level = step.groupBy("rec", "at", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"))
-    run = F.sum("d").over(Window.partitionBy("rec", "at").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    peak = level.withColumn("n", run).groupBy("rec", "at").agg(F.max("n").alias("n"))
-    allowed = candidates.join(peak, ["rec", "at"], "left").where(F.coalesce("n", F.lit(0)) + 1 <= limit).groupBy("rec").agg(F.min("at").alias("free_at"))
+    clipped = inside.select(*key, "at", F.col("e_speaker").alias("speaker"), F.greatest("e_start", "at").alias("start_us"), (F.least("e_end", F.col("at") + F.col("dur_us")) - F.greatest("e_start", "at")).alias("dur_us"))
+    merged = merge(clipped, 0, (*key, "at", "speaker"))
+    step = merged.select(*key, "at", F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("s"))
+    level = step.groupBy(*key, "at", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"))
+    run = F.sum("d").over(Window.partitionBy(*key, "at").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    peak = level.withColumn("n", run).groupBy(*key, "at").agg(F.max("n").alias("n"))
+    allowed = candidates.join(peak, [*key, "at"], "left").where(F.coalesce("n", F.lit(0)) + 1 <= limit).groupBy(*key).agg(F.min("at").alias("free_at"))
     last = existing.groupBy("rec").agg(F.max_by(F.col("start_us") + F.col("dur_us"), F.struct("start_us", "id")).alias("last_end"))
-    out = proposals.join(allowed, "rec", "left").join(last, "rec", "left")
-    return out.select("rec", F.coalesce("free_at", F.greatest("offset_us", F.coalesce("last_end", F.lit(0)))).alias("offset_us"))
+    out = proposals.join(allowed, key, "left").join(last, "rec", "left")
+    return out.select(*key, F.coalesce("free_at", F.greatest("offset_us", F.coalesce("last_end", F.lit(0)))).alias("offset_us"))

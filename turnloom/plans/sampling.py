@@ -134,49 +134,76 @@ def _draw(what: str) -> str:
     return U("meeting", "step", f"'{what}'")
 
 
-#: A meeting row by row: the state is the list of times at which each chosen speaker is free (-1: silent so far).
-SIM = RANKED + f""", chosen AS (SELECT meeting, list(speaker ORDER BY r) AS spk, count(*) AS n FROM ranked WHERE r <= n GROUP BY meeting), by_speaker AS (
+MARKOV = ((0.4, 0.3, 0.2, 0.1), (0.2, 0.5, 0.2, 0.1), (0.3, 0.3, 0.1, 0.3), (0.5, 0.2, 0.2, 0.1))
+
+
+def _kind(p: tuple[float, ...]) -> str:
+    """Index of the class that the draw of a type falls into."""
+    ends = [round(sum(p[: k + 1]), 12) for k in range(len(p) - 1)]
+    return " + ".join(f"CAST({_draw('type')} >= {e} AS INTEGER)" for e in ends)
+
+
+def _sim(limit: int | None = None, markov: tuple[tuple[float, ...], ...] | None = None) -> str:
+    """A meeting row by row: the state is the list of times at which each chosen speaker is free (-1: silent so far), and all that was said."""
+    first = _kind((0.25,) * 4)
+    kind = first if markov is None else "CASE before_kind " + " ".join(f"WHEN {k} THEN {_kind(row)}" for k, row in enumerate(markov)) + " END"
+    cut = f"least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1"
+    start, start_us, said = f"CAST(floor({_draw('start')} * 1e6) AS BIGINT)", "start_us", ""
+    if limit is not None:
+        # no more than the limit at once at the start of anything said during the utterance, by the others and the new one
+        others = "list_distinct(list_transform(list_filter(said, lambda y: y.b > y.a AND y.a <= greatest(x.a, t) AND y.b > greatest(x.a, t) AND y.s <> idx), lambda y: y.s))"
+        crowded = f"list_filter(said, lambda x: x.a < t + dur_us AND x.b > t AND x.b > x.a AND 1 + len({others}) > {limit})"
+        times = "list_concat([start_us], list_sort(list_filter(list_transform(said, lambda x: x.b), lambda t: t > start_us)))"
+        start_us = f"coalesce(list_filter({times}, lambda t: len({crowded}) = 0)[1], greatest(said[len(said)].b, start_us))"
+        said = ", list_append(said, {'s': idx, 'a': start_us, 'b': start_us + dur_us}) AS said"
+    return RANKED + f""", chosen AS (SELECT meeting, list(speaker ORDER BY r) AS spk, count(*) AS n FROM ranked WHERE r <= n GROUP BY meeting), by_speaker AS (
   SELECT speaker, list(cut_id ORDER BY cut_id) AS ids, list(dur_us ORDER BY cut_id) AS durs, count(*) AS k FROM lib GROUP BY speaker), sim AS (
-  SELECT meeting, step, spk, n, idx, -1 AS shown, kind, CAST(floor({_draw('start')} * 1e6) AS BIGINT) AS start_us, b.durs[least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1] AS dur_us,
-    b.ids[least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1] AS cut_id,
-    list_transform(range(1, n + 1), lambda i: CASE WHEN i = idx THEN CAST(floor({_draw('start')} * 1e6) AS BIGINT) + b.durs[least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1] ELSE -1 END) AS free
-  FROM (SELECT *, CAST(least(floor({_draw('spk')} * n), n - 1) AS BIGINT) + 1 AS idx,
-      CAST({_draw('type')} >= 0.25 AS INTEGER) + CAST({_draw('type')} >= 0.5 AS INTEGER) + CAST({_draw('type')} >= 0.75 AS INTEGER) AS kind
+  SELECT meeting, step, spk, n, idx, -1 AS shown, kind, {start} AS start_us, b.durs[{cut}] AS dur_us, b.ids[{cut}] AS cut_id,
+    list_transform(range(1, n + 1), lambda i: CASE WHEN i = idx THEN {start} + b.durs[{cut}] ELSE -1 END) AS free{f", [{{'s': idx, 'a': {start}, 'b': {start} + b.durs[{cut}]}}] AS said" * (limit is not None)}
+  FROM (SELECT *, CAST(least(floor({_draw('spk')} * n), n - 1) AS BIGINT) + 1 AS idx, {first} AS kind
     FROM (SELECT *, CAST(0 AS INTEGER) AS step FROM chosen)) c JOIN by_speaker b ON b.speaker = c.spk[c.idx]
   UNION ALL
   SELECT meeting, step, spk, n, idx, kind AS shown, kind, start_us, dur_us, cut_id,
-    list_transform(range(1, n + 1), lambda i: CASE WHEN i <> idx THEN free[i] WHEN free[i] < 0 THEN start_us + dur_us ELSE greatest(start_us + dur_us + 10000, free[i]) END)
-  FROM (
+    list_transform(range(1, n + 1), lambda i: CASE WHEN i <> idx THEN free[i] WHEN free[i] < 0 THEN start_us + dur_us ELSE greatest(start_us + dur_us + 10000, free[i]) END){said}
+  FROM (SELECT * REPLACE ({start_us} AS start_us) FROM (
     SELECT e.*, greatest(CASE
         WHEN kind = 0 OR n = 1 THEN before_end + CAST(floor(-0.57 * ln({_draw('gap')}) * 1e6) AS BIGINT)
         WHEN kind = 1 THEN before_end + CAST(floor(-0.4 * ln({_draw('gap')}) * 1e6) AS BIGINT)
         ELSE before_end - CAST(floor(least(greatest(-CASE WHEN kind = 2 THEN 0.44 ELSE 0.67 END * ln({_draw('gap')}), 0.03), 0.97) * before_dur) AS BIGINT) END,
-        CASE WHEN free[idx] >= 0 THEN free[idx] ELSE 0 END) AS start_us,
-      b.durs[least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1] AS dur_us, b.ids[least(CAST(floor({_draw('cut')} * b.k) AS BIGINT), b.k - 1) + 1] AS cut_id
+        CASE WHEN free[idx] >= 0 THEN free[idx] ELSE 0 END) AS start_us, b.durs[{cut}] AS dur_us, b.ids[{cut}] AS cut_id
     FROM (
       SELECT *, CASE WHEN kind = 0 OR n = 1 THEN prev WHEN j < prev THEN j ELSE j + 1 END AS idx
-      FROM (SELECT *, CAST(least(floor({_draw('spk')} * (n - 1)), n - 2) AS BIGINT) + 1 AS j,
-          CAST({_draw('type')} >= 0.25 AS INTEGER) + CAST({_draw('type')} >= 0.5 AS INTEGER) + CAST({_draw('type')} >= 0.75 AS INTEGER) AS kind
-        FROM (SELECT meeting, CAST(step + 1 AS INTEGER) AS step, spk, n, idx AS prev, start_us + dur_us AS before_end, dur_us AS before_dur, free FROM sim
+      FROM (SELECT *, CAST(least(floor({_draw('spk')} * (n - 1)), n - 2) AS BIGINT) + 1 AS j, {kind} AS kind
+        FROM (SELECT meeting, CAST(step + 1 AS INTEGER) AS step, spk, n, idx AS prev, kind AS before_kind, start_us + dur_us AS before_end, dur_us AS before_dur, free{', said' * (limit is not None)} FROM sim
           WHERE start_us + dur_us < 60000000 OR len(list_filter(free, lambda t: t >= 0)) < n))) e
-    JOIN by_speaker b ON b.speaker = e.spk[e.idx]))"""
+    JOIN by_speaker b ON b.speaker = e.spk[e.idx])))"""
+
+
+SIM = _sim()
+MEETING_ROWS = "SELECT meeting, step, spk[idx] AS speaker, cut_id, shown AS type, start_us, dur_us FROM sim"
 
 
 def _simulated(spark: SparkSession, d: str) -> DataFrame:
     return simulate(_meetings(spark, d), _library(spark, d), CONFIG)
 
 
-@query("simulate", f"WITH RECURSIVE {SIM} SELECT meeting, step, spk[idx] AS speaker, cut_id, shown AS type, start_us, dur_us FROM sim")
+@query("simulate", f"WITH RECURSIVE {SIM} {MEETING_ROWS}")
 def simulated(spark: SparkSession, d: str) -> DataFrame:
     return _simulated(spark, d)
 
 
-@query("simulate_concurrent")
+@query("simulate_concurrent", f"WITH RECURSIVE {_sim(2)} {MEETING_ROWS}")
 def simulate_concurrent(spark: SparkSession, d: str) -> DataFrame:
-    """With at most two speakers at once; tests compare its placement with a brute-force search."""
+    """With at most two speakers at once."""
     return simulate(_meetings(spark, d), _library(spark, d), SimConfig(seed=SEED, max_concurrent_speakers=2))
 
 
+@query("simulate_markov", f"WITH RECURSIVE {_sim(3, MARKOV)} {MEETING_ROWS}")
+def simulate_markov(spark: SparkSession, d: str) -> DataFrame:
+    """With turn types that depend on the one before, and at most three speakers at once."""
+    return simulate(_meetings(spark, d), _library(spark, d), SimConfig(seed=SEED, max_concurrent_speakers=3, p_markov=MARKOV))
+
+
 NAMES = "CASE type WHEN -1 THEN 'FIRST' WHEN 0 THEN 'TH' WHEN 1 THEN 'TS' WHEN 2 THEN 'IR' ELSE 'BC' END"
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import pick, uniform, uniform_sql
-from ..llm.common import partitions
 from ..operators import audio, signal
+from ..operators.simulate import draw
 from ..sources import views
 from .registry import SIGNALS, query
 from .sampling import SEED, _rooms
@@ -22,6 +22,10 @@ RMS = "sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))"
 PEAK = "list_max(list_transform(x, lambda v: abs(v)))"
 
 
+def _partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _round(x: str) -> str:
     return f"list_transform({x}, lambda v: round(v, 6) + 0.0)"
 
@@ -148,28 +152,40 @@ def real_noise_single(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("x", looped).select("sig_id", signal.rounded(signal.normalize(F.col("x"), -30.0)).alias("y"))
 
 
-@query("real_noise_multi")
+def _bed() -> str:
+    """Nine files of 64 samples fill 512, as each after the first is faded in over 8."""
+    level = "pow(10.0, -30.0 / 20)"
+    chosen = ", ".join(f"files[CAST(least(floor({uniform_sql(SEED, 'rec', str(j), chr(39) + 'noise' + chr(39))} * n), n - 1) AS BIGINT) + 1] AS f{j}" for j in range(9))
+    steps = ["b0 AS (SELECT *, f0 AS a FROM c)"] + [f"b{j} AS (SELECT * REPLACE ({_fade('a', f'f{j}', 8)} AS a) FROM b{j - 1})" for j in range(1, 9)]
+    return f"""WITH {SIGNALS}, l AS (SELECT sig_id // 25 AS rec, sig_id, CASE WHEN {RMS} > 0 THEN list_transform(x, lambda v: v * ({level} / {RMS})) ELSE x END AS x FROM v_signals),
+  g AS (SELECT rec, list(x ORDER BY sig_id) AS files, count(*) AS n FROM l GROUP BY rec), c AS (SELECT rec, {chosen} FROM g), {', '.join(steps)}, x AS (SELECT rec, a[1:512] AS x FROM b8)
+SELECT rec, {_round(f'list_transform(x, lambda v: v * ({level} / {RMS}))')} AS y FROM x"""
+
+
+@query("real_noise_multi", _bed())
 def real_noise_multi(spark: SparkSession, d: str) -> DataFrame:
-    """A bed of 512 samples a recording out of its signals as noise files; tests check level and length."""
+    """A bed of 512 samples a recording out of its signals as noise files."""
     def bed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("offset")
         rec = int(rows["rec"].iloc[0])
-        y = audio.noise_bed([np.asarray(x) for x in rows["x"]], 512, 8, -30.0, np.random.default_rng([SEED, rec]))
-        return pd.DataFrame({"rec": [rec], "y": [np.round(y, 6).tolist()]})
+        y = audio.noise_bed([np.asarray(x) for x in rows["x"]], 512, 8, -30.0, lambda j: draw(SEED, rec, j, "noise"))
+        return pd.DataFrame({"rec": [rec], "y": [(np.round(y, 6) + 0.0).tolist()]})
 
     return _pieces(spark, d).groupBy("rec").applyInPandas(bed, "rec bigint, y array<double>")
 
 
-@query("resample")
+@query("resample", f"""WITH {SIGNALS}, n AS (SELECT sig_id, x, unnest(range(CAST(ceil(len(x) / 2.0) AS BIGINT))) AS n FROM v_signals), k AS (SELECT sig_id, n, unnest(x) AS v, 2 * n - unnest(range(len(x))) AS t FROM n),
+  y AS (SELECT sig_id, n, sum(v * 0.5 * (CASE WHEN t = 0 THEN 1.0 ELSE sin(pi() * 0.5 * t) / (pi() * 0.5 * t) END) * CASE WHEN abs(t) < 32 THEN 0.5 + 0.5 * cos(pi() * t / 32) ELSE 0 END) AS v FROM k GROUP BY 1, 2)
+SELECT sig_id, list(round(v, 6) + 0.0 ORDER BY n) AS x FROM y GROUP BY sig_id""")
 def resample(spark: SparkSession, d: str) -> DataFrame:
-    """From 16 kHz to 8 kHz by windowed sinc; tests compare with sines and constants."""
-    return audio.resample_signals(views.signals(spark, d), 16000, 8000)
+    """From 16 kHz to 8 kHz by windowed sinc."""
+    return audio.resample_signals(views.signals(spark, d), 16000, 8000).select("sig_id", signal.rounded(F.col("x")).alias("x"))
 
 
 @query("rir_image_source")
 def rir_image_source(spark: SparkSession, d: str) -> DataFrame:
     """Impulse responses of all sampled rooms; tests compare the direct path with the geometry and the length with rt60."""
-    return audio.room_responses(_rooms(spark, d).repartition(partitions(spark), "room_id"))
+    return audio.room_responses(_rooms(spark, d).repartition(_partitions(spark), "room_id"))
 
 
 @query("rir_convolve")
@@ -195,7 +211,7 @@ def rir_convolve(spark: SparkSession, d: str) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["sig_id", "y"])
 
-    joined = s.select("room_id", "sig_id", "x").join(rooms, "room_id").repartition(partitions(spark), "room_id").sortWithinPartitions("room_id")
+    joined = s.select("room_id", "sig_id", "x").join(rooms, "room_id").repartition(_partitions(spark), "room_id").sortWithinPartitions("room_id")
     return joined.mapInPandas(run, "sig_id bigint, y array<double>")
 
 

@@ -119,25 +119,37 @@ def chunk_30s(spark: SparkSession, d: str) -> DataFrame:
     return W.chunk(views.segments(spark, d)).groupBy("rec", "chunk").agg(F.count("*").alias("segments"), F.sum("dur_us").alias("total_us"))
 
 
-PLACE = SEGMENTS + """, ex AS (SELECT * FROM v_segments), prop AS (
-  SELECT rec, CAST(3 AS BIGINT) AS speaker, min(start_us) + 3600000000 AS offset_us, CAST(60000000 AS BIGINT) AS dur_us FROM v_segments GROUP BY rec), cand AS (
-  SELECT DISTINCT p.rec, p.speaker, p.dur_us, a.t_us FROM prop p, LATERAL (SELECT p.offset_us AS t_us UNION ALL
+PLACE = """, ex AS (SELECT * FROM v_segments), cand AS (
+  SELECT DISTINCT p.proposal, p.rec, p.speaker, p.dur_us, a.t_us FROM prop p, LATERAL (SELECT p.offset_us AS t_us UNION ALL
     SELECT e.start_us + e.dur_us FROM ex e WHERE e.rec = p.rec AND e.dur_us > 0 AND e.start_us + e.dur_us > p.offset_us) a), inside AS (
-  SELECT c.rec, c.t_us, e.speaker, greatest(e.start_us, c.t_us) AS a, least(e.start_us + e.dur_us, c.t_us + c.dur_us) AS b
+  SELECT c.proposal, c.rec, c.t_us, e.speaker, greatest(e.start_us, c.t_us) AS a, least(e.start_us + e.dur_us, c.t_us + c.dur_us) AS b
   FROM cand c JOIN ex e ON e.rec = c.rec AND e.dur_us > 0 AND e.speaker <> c.speaker AND e.start_us < c.t_us + c.dur_us AND e.start_us + e.dur_us > c.t_us), peak AS (
-  SELECT x.rec, x.t_us, x.a, count(DISTINCT y.speaker) AS n FROM inside x JOIN inside y ON x.rec = y.rec AND x.t_us = y.t_us AND y.a <= x.a AND y.b > x.a
-  GROUP BY x.rec, x.t_us, x.a), most AS (SELECT rec, t_us, max(n) AS n FROM peak GROUP BY rec, t_us), free_ AS (
-  SELECT c.rec, min(c.t_us) AS t_us FROM cand c LEFT JOIN most m ON m.rec = c.rec AND m.t_us = c.t_us WHERE coalesce(m.n, 0) + 1 <= 2 GROUP BY c.rec), last AS (
-  SELECT rec, arg_max(start_us + dur_us, start_us) AS e FROM ex GROUP BY rec)"""
+  SELECT x.proposal, x.rec, x.t_us, x.a, count(DISTINCT y.speaker) AS n FROM inside x JOIN inside y ON x.proposal = y.proposal AND x.rec = y.rec AND x.t_us = y.t_us AND y.a <= x.a AND y.b > x.a
+  GROUP BY ALL), most AS (SELECT proposal, rec, t_us, max(n) AS n FROM peak GROUP BY ALL), free_ AS (
+  SELECT c.proposal, c.rec, min(c.t_us) AS t_us FROM cand c LEFT JOIN most m ON m.proposal = c.proposal AND m.rec = c.rec AND m.t_us = c.t_us WHERE coalesce(m.n, 0) + 1 <= 2 GROUP BY ALL), last AS (
+  SELECT rec, arg_max(start_us + dur_us, start_us) AS e FROM ex GROUP BY rec)
+SELECT {columns}, coalesce(free_.t_us, greatest(p.offset_us, last.e)) AS offset_us FROM prop p LEFT JOIN free_ USING (proposal, rec) LEFT JOIN last USING (rec)"""
+ONE = "prop AS (SELECT 0 AS proposal, rec, CAST(3 AS BIGINT) AS speaker, min(start_us) + 3600000000 AS offset_us, CAST(60000000 AS BIGINT) AS dur_us FROM v_segments GROUP BY rec)"
+MANY = """prop AS (SELECT speaker * 4 + h AS proposal, rec, speaker, min(start_us) + h * 5400000000 AS offset_us, CAST(30000000 * (h + 1) AS BIGINT) AS dur_us
+  FROM v_segments, (SELECT unnest(range(4)) AS h) GROUP BY rec, speaker, h)"""
 
 
-@query("place_one", f"WITH {PLACE} SELECT p.rec, coalesce(free_.t_us, greatest(p.offset_us, last.e)) AS offset_us FROM prop p LEFT JOIN free_ USING (rec) LEFT JOIN last USING (rec)")
+@query("place_one", f"WITH {SEGMENTS}, {ONE}{PLACE.format(columns='p.rec')}")
 def place_one(spark: SparkSession, d: str) -> DataFrame:
     s = views.segments(spark, d)
     p = s.groupBy("rec").agg((F.min("start_us") + 3_600_000_000).alias("offset_us")).select("rec", F.lit(3).cast("bigint").alias("speaker"), "offset_us", F.lit(60_000_000).cast("bigint").alias("dur_us"))
     return intervals.place(s, p, 2)
 
 
+@query("place_many", f"WITH {SEGMENTS}, {MANY}{PLACE.format(columns='p.proposal, p.rec')}")
+def place_many(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen proposals a recording: four a speaker, of different lengths, each on its own."""
+    s = views.segments(spark, d)
+    first = s.groupBy("rec", "speaker").agg(F.min("start_us").alias("first")).withColumn("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+    p = first.select((F.col("speaker") * 4 + F.col("h")).alias("proposal"), "rec", "speaker", (F.col("first") + F.col("h") * 5_400_000_000).alias("offset_us"), (30_000_000 * (F.col("h") + 1)).alias("dur_us"))
+    return intervals.place(s, p, 2)
+
+
 SPLIT = CUTS + """, ww AS (
   SELECT w.conv_id || '_' || w.turn AS cut_id, w.role AS speaker, idx, symbol, w.start_us AS a, w.start_us + w.dur_us AS b, c.dur_us AS cut_us,
     w.start_us - coalesce(lag(w.start_us + w.dur_us) OVER o, 0) AS before, coalesce(lead(w.start_us) OVER o, c.dur_us) - (w.start_us + w.dur_us) AS after,
