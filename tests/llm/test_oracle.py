@@ -15,4 +15,4 @@ def test_query_equals_its_sql(spark, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_has_rows(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() > 0
+    assert queries.QUERIES[name](spark, small).toArrow().num_rows > 0  # all columns, as a count would leave them out

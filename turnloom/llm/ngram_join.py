@@ -283,15 +283,16 @@ def _ties(sets: DataFrame) -> DataFrame:
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         record = unpack(batches, _SIG)
         gram, sets = record["gram"], record["set"].view(np.int64)
-        order = order_by_hash(mix(gram))
-        bounds = runs(gram[order])
-        long = np.diff(bounds) > 1
-        at = order[ranges(bounds[:-1][long], np.diff(bounds)[long])]
-        run = np.repeat(np.arange(int(long.sum())), np.diff(bounds)[long])
-        sets = sets[at]
-        order = np.lexsort((sets, run))
-        run, sets = run[order], sets[order]
-        pivot = sets[runs(run)[:-1]][run] if len(run) else sets
+        order = np.lexsort((sets, gram))
+        gram, sets = gram[order], sets[order]
+        once = np.ones(len(gram), bool)  # copies hold an n-gram once
+        once[1:] = (gram[1:] != gram[:-1]) | (sets[1:] != sets[:-1])
+        gram, sets = gram[once], sets[once]
+        bounds = runs(gram)
+        size = np.diff(bounds)
+        run = ranges(bounds[:-1][size > 1], size[size > 1])
+        pivot = np.repeat(sets[bounds[:-1][size > 1]], size[size > 1])
+        sets = sets[run]
         links = np.unique(np.stack((sets, pivot), axis=1), axis=0) if len(run) else np.zeros((0, 2), np.int64)
         for k in range(0, len(links), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[k : k + (1 << 16), c])) for c in (0, 1)], names=["set", "pivot"])
