@@ -20,4 +20,4 @@ def test_query_equals_its_sql(spark, small, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_has_rows(spark, small, name):
-    assert catalog.QUERIES[name](spark, small).count() > 0
+    assert catalog.QUERIES[name](spark, small).toArrow().num_rows > 0  # all columns, as a count would leave them out

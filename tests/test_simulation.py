@@ -201,11 +201,42 @@ def test_resampling_keeps_a_sine():
     assert len(y) == 2000 and np.abs(y[200:-200] - np.sin(2 * math.pi * 440 * np.arange(2000) / 8000)[200:-200]).max() < 0.01
 
 
+def test_resampling_in_blocks_is_the_same():
+    x = np.random.default_rng(1).normal(size=5000)
+    for source, target in ((16000, 8000), (8000, 16000), (44100, 16000)):
+        assert np.allclose(audio.resample(x, source, target, block=700), audio.resample(x, source, target, block=1 << 20))
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_wav_of_all_widths_and_channels(spark, tmp_path, width):
+    import io
+    import wave
+
+    x = np.stack([np.sin(np.arange(900) / 9), 0.5 * np.cos(np.arange(900) / 7)], axis=1)
+    full = {1: 127, 2: 32767, 3: 8388607, 4: 2147483647}[width]
+    numbers = np.round(x * full).astype(np.int64)
+    body = (numbers + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in numbers.ravel())
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(width)
+        w.setframerate(16000)
+        w.writeframes(body)
+    got, rate = audio.read_channels(out.getvalue())
+    assert rate == 16000 and got.shape == (900, 2) and np.abs(got - x).max() < 2 / full + 1e-9
+    assert np.allclose(audio.read_wav(out.getvalue(), 10, 30, channel=1)[0], got[10:30, 1])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wav").write_bytes(out.getvalue())
+    assert [r.status for r in audio.resample_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), 8000).collect()] == ["processed"]
+    y, rate = audio.read_channels((tmp_path / "out" / "a.wav").read_bytes())
+    assert rate == 8000 and y.shape == (450, 2)
+
+
 def test_noise_bed_has_its_level():
     files = [np.random.default_rng(k).normal(size=100 + 30 * k) for k in range(3)]
-    bed = audio.noise_bed(files, 1000, 16, -30.0, np.random.default_rng(1))
+    bed = audio.noise_bed(files, 1000, 16, -30.0, lambda k: (0.3 + 0.4 * k) % 1)
     assert len(bed) == 1000 and np.sqrt(np.mean(bed**2)) == pytest.approx(10**-1.5)
-    assert not audio.noise_bed([], 10, 4, -30.0, np.random.default_rng(1)).any()
+    assert not audio.noise_bed([], 10, 4, -30.0, lambda k: 0.5).any()
 
 
 def test_wav_files_round_trip(spark, tmp_path):

@@ -115,6 +115,20 @@ def test_place_equals_a_search(spark, seed):
     assert [r.offset_us for r in intervals.place(segments(spark, rows), p, None).collect()] == [at]
 
 
+def test_proposals_of_a_recording_are_placed_apart(spark):
+    """Each is placed as if it were alone; near and far ones of one recording don't mix."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), rng.randrange(60), rng.randrange(1, 12)) for _ in range(30)]
+    wanted = [(k, rng.randrange(4), rng.randrange(50), rng.randrange(1, 8)) for k in range(12)]
+    schema = "proposal bigint, rec date, speaker bigint, offset_us bigint, dur_us bigint"
+    p = spark.createDataFrame([(k, DAY, s, at, dur) for k, s, at, dur in wanted], schema)
+    got = {r.proposal: r.offset_us for r in intervals.place(segments(spark, rows), p, 2).collect()}
+    assert len(got) == len(wanted)
+    for k, speaker, at, dur in wanted:
+        best = next((t for t in [at, *sorted({a + d for _, a, d in rows if a + d > at})] if most(rows, t, dur, speaker) <= 2), None)
+        assert best is None or got[k] == best
+
+
 CUT = "cut_id string, speaker string, dur_us bigint, words array<struct<idx:int,symbol:string,start_us:bigint,dur_us:bigint>>"
 
 

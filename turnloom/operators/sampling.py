@@ -99,10 +99,10 @@ def _draw(seed: int, *key: object) -> float:
     return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / float(1 << 32)
 
 
-def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceiling: tuple[float, float] = (3, 5), rt60: tuple[float, float] = (0.1, 0.7), delta: float = 0.5) -> DataFrame:
-    """room_id, l, w, z, rt60, absorption, microphone and source: the first feasible attempt of each.
+def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceiling: tuple[float, float] = (3, 5), rt60: tuple[float, float] = (0.1, 0.7), delta: float = 0.5, positions: int = 1) -> DataFrame:
+    """room_id, position, l, w, z, rt60, absorption, microphone and source: the first feasible attempt of each, with as many sources.
 
-    The source is the first of its draws that is more than a metre from the microphone.
+    A source is the first of its draws that is more than a metre from the microphone.
     """
     if _absorption(size[0], size[0] / 2, ceiling[0], rt60[1]) >= 1:
         raise ValueError("no room of this size has so short a reverberation")
@@ -110,7 +110,7 @@ def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceilin
     def inside(u: float, high: float) -> float:
         return float(delta) + u * (high - 2 * float(delta))
 
-    def room(key: str | None) -> tuple:
+    def room(key: str | None) -> list[tuple]:
         for a in itertools.count():
             u = lambda what: _draw(seed, key, a, what)  # noqa: B023, E731
             l, z, r = (low + u(k) * float(high - low) for k, (low, high) in (("l", size), ("z", ceiling), ("rt60", rt60)))  # noqa: E741
@@ -121,21 +121,28 @@ def rooms(ids: DataFrame, seed: int, size: tuple[float, float] = (5, 10), ceilin
         corner = zip(mic, (delta, delta, 0.5), (l - delta, w - delta, 2.0), strict=True)
         if sum(max(abs(low - m), abs(high - m)) ** 2 for m, low, high in corner) <= 1:
             raise ValueError("no place in the room is a metre from the microphone")
-        for t in itertools.count():
-            src = inside(_draw(seed, key, t, "sx"), l), inside(_draw(seed, key, t, "sy"), w), 0.5 + _draw(seed, key, t, "sz") * 1.5
-            distance = math.sqrt(sum((s - m) ** 2 for s, m in zip(src, mic, strict=True)))
-            if distance > 1:
-                return (a, l, w, z, r, _absorption(l, w, z, r), *mic, *src, distance)
+        out = []
+        for p in range(positions):
+            for t in itertools.count():
+                # the first position's key is the attempt alone
+                own = (key, t) if p == 0 else (key, p, t)
+                src = inside(_draw(seed, *own, "sx"), l), inside(_draw(seed, *own, "sy"), w), 0.5 + _draw(seed, *own, "sz") * 1.5
+                distance = math.sqrt(sum((s - m) ** 2 for s, m in zip(src, mic, strict=True)))
+                if distance > 1:
+                    out.append((p, a, l, w, z, r, _absorption(l, w, z, r), *mic, *src, distance))
+                    break
+        return out
 
     names = ["l", "w", "z", "rt60", "absorption", "mic_x", "mic_y", "mic_z", "src_x", "src_y", "src_z", "distance"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = list(zip(*[room(k) for k in b.column(1).to_pylist()], strict=True)) or [[]] * 13
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["room_id", "attempt", *names])
+            columns = list(zip(*[r for k in b.column(1).to_pylist() for r in room(k)], strict=True)) or [[]] * 14
+            ids_ = b.column(0).take(pa.array([k for k in range(b.num_rows) for _ in range(positions)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids_, pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.float64()) for c in columns[2:]]], names=["room_id", "position", "attempt", *names])
 
     keyed = ids.select("room_id", F.col("room_id").cast("string").alias("key"))
-    return keyed.mapInArrow(run, f"room_id {ids.schema['room_id'].dataType.simpleString()}, attempt int, " + ", ".join(f"{c} double" for c in names))
+    return keyed.mapInArrow(run, f"room_id {ids.schema['room_id'].dataType.simpleString()}, position int, attempt int, " + ", ".join(f"{c} double" for c in names))
 
 
 def direct_path_delay(distance: Column, rate: int = 16000) -> Column:

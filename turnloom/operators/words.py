@@ -51,6 +51,6 @@ def rttm_entries(cuts: DataFrame) -> DataFrame:
 
 
 def chunk(segments: DataFrame, length_us: int = 30_000_000) -> DataFrame:
-    """Segments of a recording in chunks of at most the length, by greedy packing of start times into windows."""
+    """Segments of a recording by windows of their start times; a chunk outlasts its window by what its last segments do."""
     origin = F.min("start_us").over(Window.partitionBy("rec"))
     return segments.withColumn("chunk", F.floor((F.col("start_us") - origin) / length_us))

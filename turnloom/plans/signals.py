@@ -185,7 +185,7 @@ def resample(spark: SparkSession, d: str) -> DataFrame:
 @query("rir_image_source")
 def rir_image_source(spark: SparkSession, d: str) -> DataFrame:
     """Impulse responses of all sampled rooms; tests compare the direct path with the geometry and the length with rt60."""
-    return audio.room_responses(_rooms(spark, d).repartition(_partitions(spark), "room_id"))
+    return audio.room_responses(_rooms(spark, d).repartition(_partitions(spark), "room_id")).drop("position")
 
 
 @query("rir_convolve")
