@@ -74,3 +74,103 @@ def test_file_lists_and_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/report").collect()] == ["a: 1", "b: x"]
     manifests.write_json(spark.createDataFrame([(1,)], "a int"), f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").first().a == 1
+
+
+def wav(path, x, rate=16000):
+    from turnloom.operators import audio
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(audio.wav_bytes(x, rate))
+
+
+def run_folder(tmp_path, rng):
+    """A manifest of three speakers' cuts in two files each, and two noise files."""
+    rows = []
+    for s in range(3):
+        for f in range(2):
+            path = tmp_path / "speech" / f"{s}-{f}.wav"
+            wav(path, 0.3 * rng.normal(size=16000 * 6))
+            for k in range(3):
+                words = [{"symbol": w, "start": 0.1 + 0.3 * i, "duration": 0.2, "score": None} for i, w in enumerate(("a", "b", "c"))]
+                rows.append({
+                    "id": f"c{s}-{f}-{k}", "start": 2.0 * k, "duration": 1.1, "channel": 0,
+                    "supervisions": [{"id": "s", "recording_id": f"{s}-{f}", "start": 0, "duration": 1.1, "speaker": f"speaker{s}", "text": "a b c", "alignment": {"word": words}}],
+                    "recording": {"id": f"{s}-{f}", "sources": [{"type": "file", "channels": [0], "source": str(path)}], "sampling_rate": 16000, "num_samples": 96000, "duration": 6.0},
+                })
+    with gzip.open(tmp_path / "cuts_train.jsonl.gz", "wt") as f:
+        f.writelines(json.dumps(r) + "\n" for r in rows)
+    for k in range(2):
+        wav(tmp_path / "noise" / f"n{k}.wav", 0.1 * rng.normal(size=16000 * 3))
+    return rows
+
+
+def test_a_run_writes_mixtures_stems_and_manifests(spark, tmp_path):
+    from turnloom import __main__ as cli
+    from turnloom.operators import audio
+
+    run_folder(tmp_path, np.random.default_rng(3))
+    out = tmp_path / "out"
+    cli.simulate([
+        f"manifest_dir={tmp_path}", f"output_dir={out}", "n_meetings=3", "duration=6", "min_spk_utt=2", "min_max_spk=[2,3]", "save_rttm=true", "save_nemo_manifest=true", "save_spk=true",
+        "save_anechoic=true", "reverberate=true", "reverb_prob=1.0", "n_rirs=2", "n_pos_rirs=2", "rt60=[0.1,0.2]", "add_noise=true", "noise_probability_global=1.0", f"noise_folders=[\"{tmp_path}/noise\"]",
+    ])
+    lines = {r["id"]: r for p in (out / "recordings.jsonl").glob("*.json.gz") for r in map(json.loads, gzip.open(p, "rt"))}
+    assert set(lines) == {"meeting_0", "meeting_1", "meeting_2"}
+    cuts = {r["id"]: r for p in (out / "cuts.jsonl").glob("*.json.gz") for r in map(json.loads, gzip.open(p, "rt"))}
+    for name, r in lines.items():
+        x, rate = audio.read_wav(open(r["sources"][0]["source"], "rb").read())
+        assert rate == 16000 and len(x) == r["num_samples"] and 0.01 < np.abs(x).max() <= 0.9901
+        said = cuts[name]["supervisions"]
+        assert [s["id"] for s in said] == sorted(s["id"] for s in said) and said[0]["alignment"]["word"][0]["symbol"] == "a"
+        speakers = {s["speaker"] for s in said}
+        assert speakers <= {"speaker0", "speaker1", "speaker2"}
+        stems = {p.name for p in (out / "wav").glob(f"{name}-*.wav")}
+        assert stems == {f"{name}-spk-{s}{a}.wav" for s in speakers for a in ("", "-anechoic")}
+        # what isn't noise is the sum of the speakers
+        total = np.zeros(len(x))
+        for s in speakers:
+            y, _ = audio.read_wav((out / "wav" / f"{name}-spk-{s}.wav").read_bytes())
+            total[: len(y)] += y
+        noise = x - total
+        assert 0 < np.sqrt(np.mean(noise**2)) < np.sqrt(np.mean(total**2))
+    text = "".join(p.read_text() for p in (out / "rttm_files").rglob("*.txt"))
+    assert {line.split()[7] for line in text.splitlines()} <= {"speaker0", "speaker1", "speaker2"}
+    assert spark.read.json(str(out / "nemo_manifest")).count() == 3
+
+
+def test_voices_and_noise_equal_numpy(spark):
+    """Levels, responses, stems and the peak limit of one meeting, sample by sample."""
+    rng = np.random.default_rng(4)
+    timeline = spark.createDataFrame([(5, 0, "a", "c0", 0), (5, 1, "b", "c1", 600_000)], "meeting bigint, step int, speaker string, cut_id string, start_us bigint")
+    x = {"c0": rng.normal(size=900), "c1": rng.normal(size=700)}
+    signals = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "cut_id string, x array<double>")
+    h = np.concatenate((np.zeros(7), [1.0], 0.1 * rng.normal(size=90)))
+    responses = spark.createDataFrame([(3, 0, h.tolist(), [0.0, 0.5])], "room_id bigint, position int, ir array<double>, anechoic array<double>")
+    c = render.RenderConfig(seed=1, rate=1000, base_gain=(3.0, 3.0), rel_gain=(0.0, 0.0), reverb_prob=1.0, speakers=True, anechoic=True, chunk=256)
+    got: dict[str, np.ndarray] = {}
+    for r in render.meetings(timeline, signals, c, responses).collect():
+        got.setdefault(r.stem, np.zeros(1600))[r.chunk * 256 : r.chunk * 256 + len(r.x)] = r.x
+    want = {k: np.zeros(1600) for k in ("mix", "spk-a", "spk-b", "spk-a-anechoic", "spk-b-anechoic")}
+    for cut, speaker, at in (("c0", "a", 0), ("c1", "b", 600)):
+        own = x[cut] - x[cut].mean()
+        wet = np.convolve(own, h[7:])
+        gain = 10 ** (3 / 20) / np.sqrt(np.mean(wet**2))
+        for stem, y in (("mix", wet * gain), (f"spk-{speaker}", wet * gain), (f"spk-{speaker}-anechoic", 0.5 * own * gain)):
+            want[stem][at : at + len(y)] += y
+    scale = 0.99 / np.abs(want["mix"]).max()
+    assert scale < 1
+    for stem, y in want.items():
+        assert np.allclose(got[stem], y * scale), stem
+    loud = render.RenderConfig(seed=1, rate=1000, base_gain=(-40.0, -40.0), rel_gain=(0.0, 0.0), noise_prob=1.0, noise_gain=(5.0, 5.0), gauss_gain=(5.0, 5.0), fade_s=0.02, chunk=256)
+    clean = {r.chunk: np.array(r.x) for r in render.meetings(timeline, signals, render.RenderConfig(**{**loud.__dict__, "noise_prob": 0.0})).collect()}
+    files = spark.createDataFrame([(f"n{k}", rng.normal(size=300 + 50 * k).tolist()) for k in range(3)], "noise_id string, x array<double>")
+    for noise in (None, files):
+        noisy = {r.chunk: np.array(r.x) for r in render.meetings(timeline, signals, loud, noise=noise).collect()}
+        left = np.concatenate([noisy[k] - np.pad(clean[k], (0, len(noisy[k]) - len(clean[k]))) for k in sorted(noisy)])
+        assert np.sqrt(np.mean(left**2)) == pytest.approx(10 ** (-35 / 20), rel=0.1)
+
+
+def test_settings_that_nothing_would_read_are_errors():
+    for wrong in ("data_dir=/x", "rir_dir=/x", "speed_perturb=true", "multi_noise_sampling=false", "save_anechoic=true"):
+        with pytest.raises(ValueError):
+            config.from_words([wrong])

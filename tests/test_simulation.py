@@ -257,7 +257,10 @@ def test_stages_are_done_once(spark, tmp_path, small):
     cuts = views.cuts(spark, small)
     stages = pipeline.meeting_stages(cuts, config)
     first = pipeline.run_stages(spark, str(tmp_path), stages)
-    assert first["statistics"].count() == 3 and first["rttm"].count() == first["timelines"].count()
+    assert first["statistics"].count() == 3 and first["supervisions"].count() == first["timelines"].count()
+    names = {r.name for r in first["library"].select("name").distinct().collect()}
+    lines = [r.line.split() for r in first["rttm"].collect()]
+    assert lines and {line[7] for line in lines} <= names and names
     broken = [(n, None) for n, _ in stages]
     again = pipeline.run_stages(spark, str(tmp_path), broken)
     assert again["timelines"].count() == first["timelines"].count()

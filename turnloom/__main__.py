@@ -5,11 +5,12 @@ from __future__ import annotations
 import dataclasses
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config, pipeline
-from .operators import audio, turns
+from .operators import audio, render, sampling, turns
+from .operators.simulate import SimConfig
 from .sources import manifests
 
 
@@ -30,8 +31,43 @@ def simulate(words: list[str]) -> None:
     tables = pipeline.run_stages(spark, c.output_dir, pipeline.meeting_stages(cuts, sim), c.stage)
     if c.save_rttm:
         tables["rttm"].select(F.col("line").alias("value"), F.col("meeting").alias("rec")).write.partitionBy("rec").mode("overwrite").text(f"{c.output_dir}/rttm_files")
+    if c.save_nemo_manifest:
+        pipeline.nemo_manifest(tables["statistics"], c.output_dir).write.mode("overwrite").json(f"{c.output_dir}/nemo_manifest")
     if c.save_cutset:
-        manifests.write_json(tables["timelines"], f"{c.output_dir}/supervisions.jsonl")
+        manifests.write_json(tables["supervisions"], f"{c.output_dir}/supervisions.jsonl")
+    if tables["library"].where("source is null").limit(1).count():
+        print("the manifest names no sound files, so no mixtures were rendered")
+        return
+    written = render_run(spark, c, sim, tables)
+    if c.save_cutset:
+        recordings = pipeline.recordings(written, sim.samplerate)
+        manifests.write_json(recordings, f"{c.output_dir}/recordings.jsonl")
+        manifests.write_json(pipeline.cut_manifest(recordings, tables["supervisions"]), f"{c.output_dir}/cuts.jsonl")
+
+
+def render_run(spark: SparkSession, c: config.RunConfig, sim: SimConfig, tables: dict[str, DataFrame]) -> DataFrame:
+    """The WAV files of a run: mixtures, and the stems that its settings ask for."""
+    rate, responses, noise = sim.samplerate, None, None
+    if c.reverberate:
+        def make(spark: SparkSession, _: dict[str, DataFrame]) -> DataFrame:
+            ids = spark.range(c.n_rirs).withColumnRenamed("id", "room_id").repartition(min(c.n_rirs, 4 * spark.sparkContext.defaultParallelism))
+            return audio.room_responses(sampling.rooms(ids, sim.seed, c.room_sz, c.room_ceiling, c.rt60, c.delta_dist, c.n_pos_rirs), rate=rate)
+
+        responses = pipeline.run_stages(spark, c.output_dir, [("responses", make)])["responses"]
+    if c.add_noise and c.noise_folders:
+        noise = audio.noise_files(spark, list(c.noise_folders), c.noise_filename_pattern, c.filter_noise_len, sim.seed, rate)
+    r = render.RenderConfig(
+        seed=sim.seed, rate=rate, base_gain=sim.base_gain, rel_gain=sim.rel_gain, fir=c.use_fir, reverb_prob=c.reverb_prob if c.reverberate else 0.0,
+        noise_prob=c.noise_probability_global if c.add_noise else 0.0, noise_gain=c.noise_rel_gain, speakers=c.save_spk, anechoic=c.save_anechoic,
+    )
+    names = tables["library"].select("cut_id", F.col("name").alias("speaker"))
+    timeline = tables["timelines"].drop("speaker").join(names, "cut_id")
+    used = tables["library"].join(timeline.select("cut_id").distinct(), "cut_id", "left_semi")
+
+    def sound(spark: SparkSession, _: dict[str, DataFrame]) -> DataFrame:
+        return render.write_meetings(render.meetings(timeline, audio.load_cuts(used, rate), r, responses, noise), f"{c.output_dir}/wav", rate, r.chunk)
+
+    return pipeline.run_stages(spark, c.output_dir, [("files", sound)])["files"]
 
 
 def resample(words: list[str]) -> None:

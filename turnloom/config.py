@@ -51,6 +51,15 @@ class RunConfig:
             self.noise_folders = (self.noise_folders,)
         if self.mic_type != "single":
             raise ValueError("only a single microphone is simulated")
+        for name, why in (("data_dir", "sound files are read from where the manifests say"), ("rir_dir", "room responses are made, and kept with the run")):
+            if getattr(self, name) is not None:
+                raise ValueError(f"{name} can't be set: {why}")
+        if self.sim.speed_perturb:
+            raise ValueError("speed_perturb changes cuts before a run, not in it")
+        if not self.multi_noise_sampling:
+            raise ValueError("noise is always drawn from several files")
+        if self.save_anechoic and not (self.reverberate and self.save_spk):
+            raise ValueError("anechoic stems need reverberate and save_spk")
 
 
 #: Names that mean something only to one machine's processes, or that nothing reads.

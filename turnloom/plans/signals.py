@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import pick, uniform, uniform_sql
-from ..operators import audio, signal
+from ..operators import audio, render, signal
 from ..operators.simulate import draw
 from ..sources import views
 from .registry import SIGNALS, query
@@ -122,6 +122,26 @@ def mix_per_speaker(spark: SparkSession, d: str) -> DataFrame:
     return signal.mix(_pieces(spark, d), ["rec", "speaker"]).withColumn("mix", signal.rounded(F.col("mix")))
 
 
+RENDER = render.RenderConfig(seed=SEED, rate=100, speakers=True, chunk=128)
+LEVEL = f"round(-35.0 + {uniform_sql(SEED, 'meeting', chr(39) + 'base' + chr(39))} * 27.0 + (-12.0 + {uniform_sql(SEED, 'meeting', 'step', chr(39) + 'rel' + chr(39))} * 17.0), 6)"
+
+
+@query("render_meetings", f"""WITH {SIGNALS}, t AS (SELECT sig_id // 25 AS meeting, sig_id % 25 AS step, speaker, (sig_id % 25) * 16 AS off, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS x FROM v_signals),
+  v AS (SELECT meeting, step, speaker, off, {LEVEL} AS level_db, {RMS} AS r, x FROM t), s AS (
+  SELECT meeting, unnest(['mix', 'spk-' || speaker]) AS stem, off, CASE WHEN r > 0 THEN list_transform(x, lambda v: v * (pow(10.0, level_db / 20) / r)) ELSE x END AS x FROM v), y AS (
+  SELECT meeting, stem, i, sum(v) AS v FROM (SELECT meeting, stem, off + unnest(range(len(x))) AS i, unnest(x) AS v FROM s) GROUP BY ALL), p AS (
+  SELECT meeting, max(abs(v)) AS p FROM y WHERE stem = 'mix' GROUP BY meeting), g AS (
+  SELECT meeting, stem, i // 128 AS chunk, i, v * CASE WHEN p > 0.99 THEN 0.99 / p ELSE 1.0 END AS v FROM y JOIN p USING (meeting)), n AS (
+  SELECT meeting, stem, chunk, max(i) AS last FROM g GROUP BY ALL), f AS (SELECT meeting, stem, chunk, unnest(range(chunk * 128, last + 1)) AS i FROM n)
+SELECT f.meeting, f.stem, f.chunk, list(round(coalesce(v, 0.0), 6) + 0.0 ORDER BY f.i) AS x FROM f LEFT JOIN g ON f.meeting = g.meeting AND f.stem = g.stem AND f.i = g.i GROUP BY ALL""")
+def render_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Mixtures and speakers' stems of all signals, at their levels and below the peak limit, at 100 Hz in chunks of 128 samples."""
+    s = views.signals(spark, d)
+    timeline = s.select(F.floor(F.col("sig_id") / 25).alias("meeting"), (F.col("sig_id") % 25).alias("step"), "speaker", F.col("sig_id").cast("string").alias("cut_id"), ((F.col("sig_id") % 25) * 160_000).alias("start_us"))
+    sound = s.select(F.col("sig_id").cast("string").alias("cut_id"), "x")
+    return render.meetings(timeline, sound, RENDER).withColumn("x", signal.rounded(F.col("x")))
+
+
 A, B = (uniform_sql(SEED, "sig_id", "i - 1", f"'{p}'") for p in "ab")
 
 

@@ -32,13 +32,19 @@ def split_paths(folder: str, prefix: str, splits: Sequence[str]) -> list[str]:
 
 
 def to_cuts(manifest: DataFrame) -> DataFrame:
-    """The engine's cuts (cut_id, speaker, dur_us, words): each cut's first supervision, times from its start."""
+    """The engine's cuts (cut_id, speaker, dur_us, words): each cut's first supervision, times from its start.
+
+    source and source_us: its sound file, and where it begins in that.
+    """
     s = F.get("supervisions", 0)
     word = s["alignment"]["word"]
     start = F.coalesce(s["start"], F.lit(0.0))
     micro = lambda x: F.round(x * 1e6).cast("bigint")
     words = F.transform(word, lambda w, i: F.struct(i.alias("idx"), w["symbol"].alias("symbol"), micro(w["start"] - start).alias("start_us"), micro(w["duration"]).alias("dur_us")))
-    return manifest.select(F.col("id").alias("cut_id"), s["speaker"].alias("speaker"), micro(s["duration"]).alias("dur_us"), words.alias("words"))
+    source = F.get(F.col("recording")["sources"], 0)["source"]
+    # supervisions count from their cut's start
+    begin = micro(F.coalesce(F.col("start"), F.lit(0.0)) + start)
+    return manifest.select(F.col("id").alias("cut_id"), s["speaker"].alias("speaker"), micro(s["duration"]).alias("dur_us"), words.alias("words"), source.alias("source"), begin.alias("source_us"))
 
 
 def to_segments(supervisions: DataFrame) -> DataFrame:
