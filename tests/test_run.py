@@ -174,3 +174,24 @@ def test_settings_that_nothing_would_read_are_errors():
     for wrong in ("data_dir=/x", "rir_dir=/x", "speed_perturb=true", "multi_noise_sampling=false", "save_anechoic=true"):
         with pytest.raises(ValueError):
             config.from_words([wrong])
+
+
+def test_room_lists_and_responses_round_trip(spark, tmp_path):
+    from turnloom.operators import audio, sampling
+
+    rooms = sampling.rooms(spark.range(3).withColumnRenamed("id", "room_id"), 1, rt60=(0.1, 0.15), positions=2)
+    assert rooms.count() == 6 and rooms.select("room_id", "position", "src_x").distinct().count() == 6
+    assert rooms.select("room_id", "mic_x").distinct().count() == 3
+    made = audio.room_responses(rooms, order=1)
+    written = audio.write_responses(made, f"{tmp_path}/rirs").cache()
+    manifests.write_rooms(written, f"{tmp_path}/rooms")
+    read = manifests.read_rooms(spark, f"{tmp_path}/rooms/*.txt")
+    lists = {r.room_id: r.paths for r in read.collect()}
+    assert sorted(lists) == [0, 1, 2] and all(len(p) == 2 for p in lists.values())
+    (tmp_path / "all.json").write_text(json.dumps([lists[k] for k in range(3)]))
+    assert {r.room_id: r.paths for r in manifests.read_rooms(spark, f"{tmp_path}/all.json").collect()} == lists
+    want = {(r.room_id, r.position): r for r in made.collect()}
+    got = {(r.room_id, r.position): r for r in audio.read_responses(read).collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert np.allclose(r.ir, want[k].ir, atol=1e-4) and np.allclose(r.anechoic, want[k].anechoic, atol=1e-4)

@@ -58,6 +58,22 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_rooms(responses: DataFrame, path: str) -> None:
+    """A list of rooms, each the list of its responses' paths in order of position; from rows room_id, position, path."""
+    by = responses.groupBy("room_id").agg(F.array_sort(F.collect_list(F.struct("position", "path"))).alias("p"))
+    by.select(F.to_json(F.transform("p", lambda x: x["path"])).alias("value"), "room_id").repartition(1).sortWithinPartitions("room_id").select("value").write.mode("overwrite").text(path)
+
+
+def read_rooms(spark: SparkSession, path: str) -> DataFrame:
+    """room_id (the line's place among all) and paths of a list of rooms: a JSON list a line, or one list of lists."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+    lists = "array<array<string>>"
+    whole = F.from_json("value", lists)
+    lines = F.from_json(F.concat(F.lit("["), F.regexp_replace("value", r"\n+", ","), F.lit("]")), lists)
+    nested = F.col("value").rlike(r"^\[\s*\[")
+    return text.select(F.posexplode(F.when(nested, whole).otherwise(lines)).alias("room_id", "paths")).select(F.col("room_id").cast("bigint").alias("room_id"), "paths")
+
+
 def audio_files(spark: SparkSession, folders: str | Sequence[str]) -> DataFrame:
     """path and length in bytes of sound files below the folders; contents aren't read."""
     folders = [folders] if isinstance(folders, str) else list(folders)
