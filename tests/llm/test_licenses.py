@@ -80,3 +80,24 @@ def test_frequency_and_postings(spark):
     assert L.document_frequency(documents(spark, rows), ["license", "mit", "zlib"]) == {"license": 2, "mit": 1, "zlib": 0}
     with pytest.raises(ValueError):
         L.compile_templates([("X", "a b c", ("c b",))])
+
+
+def test_planted_notices_are_found_where_they_stand(spark):
+    """Each notice, whole, at a known word among words of no licence; the expected rows come from the planting alone."""
+    rng = random.Random(12)
+    rows, want = [], []
+    for k, (license_, notice, _) in enumerate(L.TEMPLATES):
+        for n in (0, 3, 400):
+            before, after = " ".join(f"zz{rng.randrange(999)}" for _ in range(n)), " ".join(f"zz{rng.randrange(999)}" for _ in range(n))
+            doc = 10 * k + len(str(n))
+            rows.append((doc, f"{before} {notice} {after}"))
+            size = len("".join(c if c.isalnum() else " " for c in notice).split())
+            want.append((doc, license_, n, size, size, 1.0))
+    got = [(r.doc_id, r.license, r.first_word, r.n_words, r.matched_words, r.share) for r in L.scan(documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_notices_without_a_mandatory_phrase_are_none(spark):
+    rows = [(k, " ".join(w for w in L.split(notice) if w not in L.split(phrases[0])[:1])) for k, (_, notice, phrases) in enumerate(L.TEMPLATES)]
+    found = {r.doc_id for r in L.scan(documents(spark, rows)).collect()}
+    assert not found & {k for k, (_, notice, phrases) in enumerate(L.TEMPLATES) if len(L.split(notice)) > 3 and " ".join(L.split(phrases[0])) not in rows[k][1]}

@@ -1,4 +1,7 @@
-"""Suffix sorting by grouping, in linear time and without recursion or renaming.
+"""Suffix sorting by grouping, without recursion or renaming.
+
+The steps over the suffixes are linear; symbols and the members of a group are put in order with
+the sorts of numpy and Python, which are fast on the few distinct and nearly ordered values here.
 
 Suffixes of one group share their longest Lyndon prefix so far.  Groups are handled in descending
 order: each member points to the nearest suffix before it of a smaller group (its previous

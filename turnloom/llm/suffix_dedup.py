@@ -4,9 +4,11 @@ Every window of ``least`` words has an anchor, the n-gram of least hash in it, s
 have equal anchors at equal places.  Windows with the same anchor occurrence form a segment.
 Segments are compared by hash within each anchor's group first: a group whose segments are all
 alike needs no sorting.  The distinct segments of the other groups are fetched, laid end to end
-and suffix-sorted in linear time; neighbours in suffix order that agree on ``least`` words are one
+and suffix-sorted by grouping; neighbours in suffix order that agree on ``least`` words are one
 class.  Of each class the occurrence of least (doc_id, position) is the original, the others are
-duplicates.  Groups spread over tasks by anchor, so the work of a task doesn't grow with the corpus.
+duplicates.  Groups spread over tasks by anchor.  Copies of a passage are sorted once, but those of
+its ends, which go on differently in each document, are distinct: the distinct segments of one
+anchor are one task's work, some 70 words each.
 
 Words are runs of bytes other than white space.
 
