@@ -93,11 +93,21 @@ def crossfade(a: Column, b: Column, samples: int) -> Column:
 
 
 def repeat_to(x: Column, length: int, samples: int, repeats: int) -> Column:
-    """x repeated with cross-fades up to a length; ``repeats`` copies must suffice."""
-    out = x
-    for _ in range(repeats - 1):
-        out = crossfade(out, x, samples)
-    return F.slice(out, 1, length)
+    """x repeated with cross-fades, as ``crossfade`` makes them, up to a length; ``repeats`` copies must suffice.
+
+    A sample's place within its copy says what it is made of, so that no copy is built on the one before.
+    """
+    k = F.least(F.lit(samples), F.floor(F.size(x) / 4).cast("int"))
+    period = F.size(x) - k
+
+    def sample(i: Column) -> Column:
+        copy, r = F.floor(i / period), F.pmod(i, period).cast("int")
+        here, tail = F.get(x, r), F.get(x, (period + r).cast("int"))
+        both = tail * fade(r, k, False) + here * fade(r, k, True)
+        return F.when(copy >= repeats, tail).when((copy == 0) | (r >= k), here).otherwise(both)
+
+    n = F.least(F.lit(length), (period * repeats + k).cast("int"))
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n - 1), sample)).otherwise(x)
 
 
 def mix(pieces: DataFrame, keys: list[str]) -> DataFrame:
