@@ -83,6 +83,19 @@ def test_spans_equal_brute_force(spark, seed):
     assert got == sorted(brute(rows, LEAST))
 
 
+@pytest.mark.parametrize("sort_words", [0, 150])
+def test_hot_groups_are_split(spark, sort_words):
+    # a third of the documents share a passage and go on differently; some groups or all are split by window
+    rng = random.Random(8)
+    passage = prose(rng, 40)
+    rows = [*corpus(9), *[(100 + d, f"{prose(rng, 5)} {passage} {prose(rng, rng.randrange(1, 9))}") for d in range(20)], (200, "a b " * 40), (201, "a b " * 30 + "c")]
+    docs = documents(spark, rows)
+    found = suffix_dedup._occurrences(suffix_dedup._ids(docs), LEAST, 5)
+    assert suffix_dedup._hot_anchors(found, LEAST, sort_words).count() > 0
+    got = spans(suffix_dedup.repeated_spans(docs, LEAST, 5, sort_words))
+    assert got == sorted(brute(rows, LEAST))
+
+
 def test_periodic_text(spark):
     rows = [(1, "a b " * 60), (2, "a b " * 20 + "c"), (3, "z " * 200)]
     assert spans(suffix_dedup.repeated_spans(documents(spark, rows), LEAST, 5)) == sorted(brute(rows, LEAST))

@@ -129,7 +129,7 @@ class Filter:
 
     def __init__(self, keys: DataFrame) -> None:
         """keys: one bigint column.  Tasks fill the bits, and the driver gets them combined."""
-        n = keys.count()
+        n = self.keys = keys.count()
         self.bits = 1 << min(self.LARGEST.bit_length() - 1, max(13, (12 * n).bit_length()))
         size, chunk = self.bits, self.bits // 2048
 

@@ -7,8 +7,10 @@ alike needs no sorting.  The distinct segments of the other groups are fetched,
 and suffix-sorted by grouping; neighbours in suffix order that agree on ``least`` words are one
 class.  Of each class the occurrence of least (doc_id, position) is the original, the others are
 duplicates.  Groups spread over tasks by anchor.  Copies of a passage are sorted once, but those of
-its ends, which go on differently in each document, are distinct: the distinct segments of one
-anchor are one task's work, some 70 words each.
+its ends, which go on differently in each document, are distinct.  A group whose distinct segments
+have more than ``SORT_WORDS`` words is therefore split further: its anchor grows to the whole window,
+so that a group's segments are all alike and count as an aggregate, which tasks combine before the
+shuffle.  What one task sorts is thus bounded however many documents share a passage.
 
 Words are runs of bytes other than white space.
 
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ from .textbatch import Words, gram_positions, grams, mix, order_by_hash, ranges,
 
 #: Words of a passage, and of an anchor.
 LEAST, ANCHOR = 50, 16
-#: Words that are suffix-sorted at once, where groups allow.
+#: Words that are suffix-sorted at once; groups with more are split by window.
 SORT_WORDS = 200_000
 _OCCURRENCE = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("windows", "<u2")])
 _OCC_SCHEMA = "anchor bigint, content bigint, doc bigint, text bigint, start bigint, windows int, first boolean, sort boolean"
@@ -140,8 +143,18 @@ def _occurrences(docs: DataFrame, least: int, anchor: int) -> DataFrame:
     return cut(exchange(docs, emit, buckets).mapInArrow(group, _OCC_SCHEMA))
 
 
-def _segments(docs: DataFrame, occurrences: DataFrame, least: int) -> DataFrame:
-    """The words, as hashes, of the first occurrence of each content that must be sorted."""
+def _hot_anchors(occurrences: DataFrame, least: int, most: int) -> DataFrame:
+    """Anchors whose distinct segments have more than ``most`` words."""
+    size = occurrences.where("first and sort").groupBy("anchor").agg(F.sum(F.col("windows") + (least - 1)).alias("words"))
+    return size.where(F.col("words") > most).select("anchor")
+
+
+def _segments(docs: DataFrame, occurrences: DataFrame, hot: Broadcast, least: int) -> DataFrame:
+    """The words, as hashes, of the first occurrence of each content that must be sorted.
+
+    Of the anchors in ``hot`` they are the hashes of whole windows instead (``split``).  What the
+    filter lets through besides is split without need, and with the same result.
+    """
     wanted = occurrences.where("first and sort").groupBy("doc").agg(F.collect_list(F.struct("text", "start", "windows", "anchor", "content")).alias("wanted"))
     held = docs.sparkSession.sparkContext.broadcast(Filter(occurrences.where("first and sort").select("doc").distinct()))
 
@@ -164,16 +177,18 @@ def _segments(docs: DataFrame, occurrences: DataFrame, least: int) -> DataFrame:
                 if not len(mine):
                     continue
                 at = w.first[row[mine]] + start[mine]
-                bodies = [h[a : a + n].tobytes() for a, n in zip(at, windows[mine] + least - 1, strict=True)]
+                split = hot.value.passes(anchor[mine])
+                whole = grams(h, least) if split.any() else h
+                bodies = [whole[a : a + n].tobytes() if s else h[a : a + n + least - 1].tobytes() for s, a, n in zip(split, at, windows[mine], strict=True)]
                 take = pa.array(mine)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[mine]), pa.array(content[mine]), part.column(0).take(pa.array(row[mine])), pa.array(start[mine]), pa.array(text[mine]), pa.array(bodies, pa.binary())],
-                    names=["anchor", "content", "doc", "start", "text", "words"],
+                    [pa.array(anchor[mine]), pa.array(content[mine]), part.column(0).take(pa.array(row[mine])), pa.array(start[mine]), pa.array(text[mine]), pa.array(bodies, pa.binary()), pa.array(split)],
+                    names=["anchor", "content", "doc", "start", "text", "words", "split"],
                 )
 
     narrowed = docs.mapInArrow(narrow, docs.schema)
     joined = narrowed.join(wanted, narrowed["doc_id"] == wanted["doc"]).select("doc_id", narrowed["text"], "wanted")
-    return joined.mapInArrow(take, "anchor bigint, content bigint, doc bigint, start bigint, text bigint, words binary").dropDuplicates(["anchor", "content"])
+    return joined.mapInArrow(take, "anchor bigint, content bigint, doc bigint, start bigint, text bigint, words binary, split boolean").dropDuplicates(["anchor", "content"])
 
 
 def _sorted_flags(segments: DataFrame, least: int) -> DataFrame:
@@ -223,11 +238,45 @@ def _sorted_flags(segments: DataFrame, least: int) -> DataFrame:
     return ordered.mapInArrow(run, "anchor bigint, content bigint, flags binary")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """Word spans that repeat: doc_id, text_hash, start_word, n_words, duplicate (false for originals)."""
+def _counted_flags(segments: DataFrame) -> DataFrame:
+    """The flags of ``_sorted_flags`` for segments that are split by window."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(b, dtype=np.int64) for b in batch.column(5).to_pylist()]
+            size = np.array([len(k) for k in keys], dtype=np.int64)
+            if not size.sum():
+                continue
+            row = np.repeat(np.arange(len(keys)), size)
+            at = ranges(np.zeros(len(keys), np.int64), size)
+            anchor, content, doc, start, text = (batch.column(c).to_numpy()[row] for c in range(5))
+            columns = [np.concatenate(keys), anchor, content, at, doc, start + at, text]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["window", "anchor", "content", "at", "doc", "place", "text"])
+
+    rows = segments.select("anchor", "content", "doc", "start", "text", "words").mapInArrow(windows, "window bigint, anchor bigint, content bigint, at bigint, doc bigint, place bigint, text bigint")
+    place = F.struct("doc", "place", "text")
+    shared = rows.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("original")).where("n > 1").drop("n")
+    # a window that many segments share makes one side of this join skewed; adaptive execution cuts it into several tasks
+    flag = F.when(F.col("original").isNull(), "00").when(F.col("original") == place, "01").otherwise("03")
+    flagged = rows.join(shared.hint("shuffle_merge"), "window", "left").select("anchor", "content", F.struct("at", flag.alias("flag")).alias("flag"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("flag")), lambda x: x["flag"]), "")
+    return flagged.groupBy("anchor", "content").agg(F.unhex(body).alias("flags"))
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, sort_words: int = SORT_WORDS) -> DataFrame:
+    """Word spans that repeat: doc_id, text_hash, start_word, n_words, duplicate (false for originals).
+
+    ``sort_words`` bounds the words of a group that is sorted in one task; the result doesn't depend on it.
+    """
     docs = _ids(docs)
     found = _occurrences(docs, least, anchor)
-    flags = _sorted_flags(_segments(docs, found, least), least)
+    hot = Filter(_hot_anchors(found, least, sort_words))
+    segments = _segments(docs, found, docs.sparkSession.sparkContext.broadcast(hot), least)
+    if hot.keys:
+        segments = cut(segments)
+        flags = _sorted_flags(segments.where("not split"), least).unionByName(_counted_flags(segments.where("split")))
+    else:
+        flags = _sorted_flags(segments, least)
     copies = found.where("sort and not first").select("anchor", "content").distinct().withColumn("copied", F.lit(True))
     rows = found.join(flags, ["anchor", "content"], "left").join(copies, ["anchor", "content"], "left")
     # without sorting, every segment of the group is a copy of every other
