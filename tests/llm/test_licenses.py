@@ -101,3 +101,13 @@ def test_notices_without_a_mandatory_phrase_are_none(spark):
     rows = [(k, " ".join(w for w in L.split(notice) if w not in L.split(phrases[0])[:1])) for k, (_, notice, phrases) in enumerate(L.TEMPLATES)]
     found = {r.doc_id for r in L.scan(documents(spark, rows)).collect()}
     assert not found & {k for k, (_, notice, phrases) in enumerate(L.TEMPLATES) if len(L.split(notice)) > 3 and " ".join(L.split(phrases[0])) not in rows[k][1]}
+
+
+def test_whole_licenses_are_told_from_their_beginnings(spark):
+    """A whole text is one row; one cut short, or with another third clause, is what its words still prove."""
+    text = {name: t for name, t, _ in reversed(L.TEXTS)}
+    rows = [(1, text["MIT"]), (2, text["MIT"][:150]), (3, text["BSD-3-Clause"]), (4, text["BSD-2-Clause"]), (5, text["BSD-2-Clause"][:200]), (6, text["GPL-2.0"]), (7, text["GPL-3.0"]), (8, text["LGPL-2.1"]), (9, text["Apache-2.0"] + " filler" * 50 + " " + text["ISC"])]
+    got = sorted((r.doc_id, r.license, r.n_words) for r in L.scan(documents(spark, rows)).collect())
+    size = {name: len(L.split(t)) for name, t in text.items()}
+    assert [(d, name) for d, name, _ in got] == [(1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause"), (4, "BSD-2-Clause"), (5, "BSD"), (6, "GPL-2.0"), (7, "GPL-3.0"), (8, "LGPL-2.1"), (9, "Apache-2.0"), (9, "ISC")]
+    assert {d: n for d, _, n in got if d in (1, 3, 4, 6)} == {1: size["MIT"], 3: size["BSD-3-Clause"], 4: size["BSD-2-Clause"], 6: size["GPL-2.0"]}

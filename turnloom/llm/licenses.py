@@ -1,6 +1,6 @@
 """License scans with a positional index of rare words.
 
-Templates are short notices, as runs of words.  The inverse document frequency of every template
+Templates are notices and whole short licenses, as runs of words.  The inverse document frequency of every template
 word comes from all documents.  A template's postings are its rarest words, the rarest of each
 mandatory phrase among them, with their positions.  A file's own rare words are looked up, and
 postings that put a template at the same place, give or take inserted words, are one candidate;
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_texts import TEXTS
 from .textbatch import alnum_words, slices
 
 #: (license, notice, mandatory phrases)
@@ -54,6 +55,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication", ("cc0 1 0 universal",)),
     ("Unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    *TEXTS,
 )
 #: Rare words of a template in the index, words that may be inserted, and the share of words needed.
 POSTING_WORDS, SLACK, LEAST_SHARE = 4, 4, 0.6
