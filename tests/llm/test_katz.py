@@ -156,3 +156,19 @@ def test_good_turing_discounts():
     assert d[1] == pytest.approx((2 * 400 / 1000 - a) / (1 - a))
     assert d[6] == 1 and all(0 < x < 1 for x in d[1:6])
     assert prose(random.Random(1), 3).count(" ") == 2
+
+
+@pytest.mark.parametrize("vocabulary", [8, 60])
+def test_score_backs_off_through_all_orders(spark, vocabulary):
+    """Documents scored under another table's model: trigrams, bigrams, words and contexts that it doesn't have, and counted ones."""
+    rows, other = corpus(1, vocabulary), corpus(2, vocabulary, 30)
+    other += [(100, "new words only here"), (101, f"w1 new w2 w1 {'w3 ' * 20}"), (102, ""), (103, None), (None, "w1 w2"), (104, "w1"), (104, "w1"), rows[3]]
+    got = sorted(((r.doc_id, r.n_tokens, r.log_prob) for r in katz.score(documents(spark, other, extra=True), documents(spark, rows)).collect()), key=repr)
+    want = sorted(((r[0], max(0, len(line) - 2), s) for r, line, s in zip(other, lines(other), Textbook(rows).score(other), strict=True)), key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
+def test_score_under_an_empty_model(spark):
+    got = katz.score(documents(spark, [(1, "a b"), (2, "")]), documents(spark, [(1, None), (2, " ")])).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.log_prob) for r in got) == [(1, 3, 0.0), (2, 0, 0.0)]

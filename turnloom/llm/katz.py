@@ -11,18 +11,28 @@ the shorter model, with the weight that makes the context's distribution sum to
     alpha(u,v) = (1 - sum of its P(w|u,v)) / (1 - sum of P(w|v) of the same words), alpha(v) likewise
     a context that wasn't counted has the weight one
 
-``model`` stores the tables and ``score_with`` evaluates any documents under them, each token down
-to the order that has it.  ``score`` scores the counted documents themselves: there every trigram
-was counted, so the recursion ends at the first order, and only the trigram counts are needed.
-They are partitioned by the context (u, v), which holds a token's trigram and its context in one
-task; no word is frequent enough to make a task large, as contexts of frequent words spread.  Tokens
-travel once, 11 bytes each, and sums per document travel back.  The counts of counts need all
-tasks, so the blocks are read twice; the plan holds their exchange once and reuses it.
+``score`` counts one table and scores the same or another one, with all three orders in the plan:
+
+    tokens       go to the task of their context (u, v), which counts trigrams
+    bigrams      each such task asks the task of v for P(w|v) of its distinct (v, w), telling how
+                 often it saw them; the sum over tasks counts the bigrams
+    words        likewise each task of bigrams asks the task of w for the count of its distinct w
+    back again   words' counts give P(w), alpha(v) and P(w|v), bigrams not counted being backed off;
+                 these give alpha(u,v), and tokens whose trigram wasn't counted are backed off
+
+Counts of counts ride along with the questions, so every task knows them without another pass.
+Contexts of a word are spread over ``SPREAD`` tasks, so that frequent words make no task large, while
+most bigrams are still asked for once.  Tokens travel once, as numbers in lists of their block's words;
+sums per document travel back.  Documents that are counted themselves have all their trigrams
+counted, so for them the weights are made and no token uses them.
+
+``model`` stores the tables instead, and ``score_with`` looks up any documents in them by joins.
 
 Defined results
   null or empty text, or white space only: 0 tokens, log_prob 0, no perplexity, not counted
   null doc_id: counted and scored, null in the result; repeated rows: each counts and is scored
-    (``score_with`` gives rows that are equal in id and text once)
+    (``score_with`` gives rows that are equal in id and text once); documents that are only scored
+    aren't counted, and those only counted give no row
   ties don't arise; very long texts: every word counts
   counts of counts that Good-Turing can't use (small corpora): absolute discounting, c - D with
     D = n1 / (n1 + 2 n2), or 0.5
@@ -33,7 +43,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +57,12 @@ from .textbatch import mix, order_by_hash, runs, slices, words
 
 GT_MAX = 5
 #: Tokens that are sent as one block a table partition.
-BATCH_TOKENS = 1 << 19
+BATCH_TOKENS = 1 << 20
+#: Tasks that share the contexts of one middle word.
+SPREAD = 4
 BEGIN, END = 1, 2
+#: Kinds of blocks: documents, tokens by what they are for, counts of counts, and n-grams asked for or answered.
+DOCS, BOTH, COUNTED, SCORED, COUNTS, GRAMS = range(6)
 _BITS = np.uint64((1 << 40) - 1)
 _INFO = np.dtype([("doc", "<i8"), ("known", "u1"), ("tokens", "<u4")])
 _SUM = np.dtype([("place", "<u2"), ("sum", "<f8")])
@@ -65,16 +79,71 @@ def _hashes(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(w.hashes() & _BITS, 3), w.first
 
 
-def _send(parts: list[tuple], key: int, buckets: int, whole: bool) -> Iterator[tuple[int, int, int, bytes]]:
-    """(bucket, batch, kind, body) of documents given as (info, word hashes, tokens a document); kind 0 has the documents, 1 tokens.
+def _home(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(word) >> np.uint64(20)) % np.uint64(buckets)
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of so many bytes, byte by byte, so that small ones compress to little."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(body: bytes, n: int, at: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8, width * n, at).reshape(width, n).T
+    return out.view("<u8").reshape(n)
+
+
+def _five(x: np.ndarray) -> bytes:
+    """Numbers of 5 bytes as differences, which are small where they are in order."""
+    return _planes(np.diff(x, prepend=np.uint64(0)) & _BITS, 5)
+
+
+def _numbers(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.cumsum(_from_planes(body, n, at, 5)) & _BITS
 
-    A token is u, v and w, 5 bytes each, if ``whole``; else 5 bytes of its context's hash, besides
-    those that choose the bucket, 4 bytes of its word's, and its document's place in the batch.
+
+def _runs_of(x: np.ndarray) -> bytes:
+    """Numbers of 5 bytes that come in runs."""
+    bounds = runs(x)
+    return np.uint32(len(bounds) - 1).tobytes() + _five(x[bounds[:-1]]) + _planes(np.diff(bounds), 5)
+
+
+def _from_runs(body: bytes) -> tuple[np.ndarray, int]:
+    """The numbers, and where they end."""
+    n = int(np.frombuffer(body, np.uint32, 1)[0])
+    return np.repeat(_numbers(body, n, 4), _from_planes(body, n, 4 + 5 * n, 5).astype(np.int64)), 4 + 10 * n
+
+
+def _pack(v: np.ndarray, u: np.ndarray, w: np.ndarray, place: np.ndarray) -> bytes:
+    """Tokens by their words' numbers in a list of the block's words, frequent ones first; v in runs."""
+    bounds = runs(v)
+    words, number, times = np.unique(np.concatenate((v[bounds[:-1]], u, w)), return_inverse=True, return_counts=True)
+    by = np.argsort(-times, kind="stable")
+    rank = np.empty(len(words), np.uint64)
+    rank[by] = np.arange(len(words), dtype=np.uint64)
+    return np.array([len(words), len(bounds) - 1, len(v)], np.uint32).tobytes() + _five(words[by]) + _planes(np.diff(bounds), 4) + _planes(rank[number], 4) + _planes(place, 2)
+
+
+def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """v, u, w and place."""
+    some, r, n = np.frombuffer(body, np.uint32, 3).tolist()
+    at = 12 + 5 * some
+    line = _numbers(body, some, 12)[_from_planes(body, r + 2 * n, at + 4 * r, 4).astype(np.int64)]
+    v = np.repeat(line[:r], _from_planes(body, r, at, 4).astype(np.int64))
+    return v, line[r : r + n], line[r + n :], _from_planes(body, n, len(body) - 2 * n, 2).astype(np.uint16)
+
+
+def _send(parts: list[tuple], key: int, buckets: int, kind: int, whole: bool) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, batch, kind, body) of documents given as (info, word hashes, tokens a document).
+
+    A token is u, v and w, 5 bytes each, if ``whole``; else these and its document's place in the batch, packed.
     """
     info = np.concatenate([p[0] for p in parts])
     body = info.tobytes()
     batch = int(mix(np.array([np.bitwise_xor.reduce(mix(np.frombuffer(body.ljust(-(-len(body) // 8) * 8, b"\0"), np.uint64) + np.arange(-(-len(body) // 8), dtype=np.uint64))) ^ np.uint64(key)], np.uint64)).view(np.int64)[0])
-    yield batch % buckets, batch, 0, body
+    if kind != COUNTED:
+        yield batch % buckets, batch, DOCS, body
     count = info["tokens"].astype(np.int64)
     word = np.concatenate([p[1] for p in parts])
     live = count[count > 0]
@@ -94,26 +163,26 @@ def _send(parts: list[tuple], key: int, buckets: int, whole: bool) -> Iterator[t
     at = np.flatnonzero(own)
     place = np.repeat(np.flatnonzero(count > 0), live).astype(np.uint16)
     u, v, w = line[at - 2], line[at - 1], line[at]
-    context = mix(mix(v) + u * _U)
-    bucket = context % np.uint64(buckets)
-    # a bucket's equal contexts together, which compress well
-    order = np.argsort((bucket << np.uint64(44)) | ((context >> np.uint64(42)) << np.uint64(22)) | (w & np.uint64(0x3FFFFF)))
+    bucket = (_home(v, buckets) + (mix(mix(v) + u * _U) >> np.uint64(40)) % np.uint64(SPREAD)) % np.uint64(buckets)
+    # a bucket's equal middle words together, and of these equal contexts, which compress well
+    order = np.argsort((bucket << np.uint64(44)) | ((v & np.uint64(0xFFFFF)) << np.uint64(24)) | ((u & np.uint64(0x3FFF)) << np.uint64(10)) | (w & np.uint64(0x3FF)))
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    halves = [(x.astype(np.uint32), (x >> np.uint64(32)).astype(np.uint8)) for x in ((u[order], v[order], w[order]) if whole else (context[order] >> np.uint64(24),))]
-    fields = [*halves[0], *halves[1], *halves[2]] if whole else [*halves[0], w[order].astype(np.uint32), place[order]]
+    u, v, w, place = u[order], v[order], w[order], place[order]
     for b in np.flatnonzero(np.diff(bounds)).tolist():
-        yield b, batch, 1, b"".join(x[bounds[b] : bounds[b + 1]].tobytes() for x in fields)
+        s = slice(bounds[b], bounds[b + 1])
+        yield b, batch, kind, _five(u[s]) + _five(v[s]) + _five(w[s]) if whole else _pack(v[s], u[s], w[s], place[s])
 
 
 _SENT = "bucket int, batch bigint, kind int, body binary"
 
 
 def _rows(items: list[tuple]) -> pa.RecordBatch:
+    items = [(*i[:3], len(i[3]).to_bytes(8, "little") + pa.compress(i[3], codec="zstd", asbytes=True)) for i in items]
     return pa.RecordBatch.from_arrays([pa.array([i[k] for i in items], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "batch", "kind", "body"])
 
 
-def _exchange(docs: DataFrame, buckets: int, whole: bool = False) -> DataFrame:
-    """Blocks of tokens by the context's bucket: bucket, batch, kind, body."""
+def _blocks(docs: DataFrame, buckets: int, kind: int, whole: bool = False) -> DataFrame:
+    """Blocks of tokens of the kind, with the context's bucket: bucket, batch, kind, body."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -123,7 +192,7 @@ def _exchange(docs: DataFrame, buckets: int, whole: bool = False) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held, docs_held, sent
             items = []
-            for item in _send(parts, task << 20 | sent, buckets, whole):
+            for item in _send(parts, task << 20 | sent, buckets, kind, whole):
                 items.append(item)
                 if len(items) == 64:
                     yield _rows(items)
@@ -152,7 +221,11 @@ def _exchange(docs: DataFrame, buckets: int, whole: bool = False) -> DataFrame:
         if parts:
             yield from flush()
 
-    return _texts(docs).mapInArrow(emit, _SENT).repartitionById(buckets, F.col("bucket"))
+    return _texts(docs).mapInArrow(emit, _SENT)
+
+
+def _exchange(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartitionById(buckets, F.col("bucket"))
 
 
 def _count(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,42 +237,118 @@ def _count(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, np.diff(bounds).astype(np.int64), order[bounds[:-1]]
 
 
-def _numbers(body: bytes, n: int, at: int) -> np.ndarray:
-    """n numbers of 5 bytes."""
-    low = np.frombuffer(body, np.uint32, n, at).astype(np.uint64)
-    return low | np.frombuffer(body, np.uint8, n, at + 4 * n).astype(np.uint64) << np.uint64(32)
-
-
-class _Tables:
-    """The trigrams of a partition, and of each token the number of its trigram."""
-
-    def __init__(self, bodies: list[bytes]) -> None:
-        contexts, keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
-        while bodies:
-            body = bodies.pop(0)
-            n = len(body) // 11
-            contexts.append(mix(_numbers(body, n, 0)))
-            keys.append(mix(contexts[-1] + np.frombuffer(body, np.uint32, n, 5 * n) * _W))
-            places.append(np.frombuffer(body, np.uint16, n, 9 * n).copy())
-        self.size = [len(p) for p in places[1:]]
-        self.place = np.concatenate(places)
-        key = np.concatenate(keys)
-        keys.clear()
-        self.tri, self.count, first = _count(key)
-        del key
-        self.context, total, _ = _count(np.concatenate(contexts)[first])
-        # a context's tokens are those of its trigrams
-        self.total = np.bincount(self.context, weights=self.count, minlength=len(total))
-
-    def histogram(self) -> np.ndarray:
-        """How many trigrams occur once, twice and so on."""
-        return np.bincount(np.minimum(self.count, GT_MAX + 2), minlength=GT_MAX + 3)[: GT_MAX + 2]
-
-    def log_probs(self, d: np.ndarray) -> np.ndarray:
-        """Of each token."""
-        kept = d[np.minimum(self.count, GT_MAX + 1)] * self.count
-        total = _whole(self.total, np.bincount(self.context, weights=kept, minlength=len(self.total)))
-        return np.log(kept / total[self.context])[self.tri]
+class _Questions:
+    """Distinct n-grams in an order that only depends on them, by the bucket of the word that answers."""
+
+    def __init__(self, order: np.ndarray, word: np.ndarray, buckets: int) -> None:
+        home = _home(word[order], buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        by = np.argsort(home, kind="stable")
+        self.order, self.bounds = order[by], np.searchsorted(home[by], np.arange(buckets + 1))
+
+    def asked(self) -> Iterator[tuple[int, np.ndarray]]:
+        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
+            yield b, self.order[self.bounds[b] : self.bounds[b + 1]]
+
+    def answered(self, bodies: dict[int, np.ndarray]) -> np.ndarray:
+        """The answers in the n-grams' own order."""
+        out = np.zeros(len(self.order))
+        for b, some in self.asked():
+            out[some] = bodies[b]
+        return out
+
+
+class _Trigrams:
+    """The trigrams of a partition, of each token the number of its trigram, and the bigrams (v, w) in them."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]], buckets: int) -> None:
+        empty = np.zeros(0, np.uint64)
+        parts = [(empty, empty, empty, np.zeros(0, np.uint16))]
+        kinds = np.array([k for k, _ in blocks], np.int64)
+        while blocks:
+            parts.append(_unpack(blocks.pop(0)[1]))
+        self.size = [len(p[0]) for p in parts[1:]]
+        v, u, w, self.place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        context = mix(mix(v) + u * _U)
+        del u
+        self.tri, self.count, first = _count(mix(context + w * _W))
+        if (kinds == SCORED).any():
+            self.count = np.bincount(self.tri, weights=np.repeat(kinds != SCORED, self.size)).astype(np.int64)
+        context, v, w = context[first], v[first], w[first]
+        self.context = _count(context)[0]
+        del context
+        self.pair, _, first = _count(mix(mix(v) + w * _W))
+        self.v, self.w = v[first], w[first]
+        self.asks = _Questions(np.lexsort((self.w, self.v)), self.v, buckets)
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """Bigrams, and how often they were counted here."""
+        count = np.bincount(self.pair, weights=self.count, minlength=len(self.v)).astype(np.int64)
+        for b, some in self.asks.asked():
+            yield b, _runs_of(self.v[some]) + _five(self.w[some]) + _planes(count[some], 5)
+
+    def log_probs(self, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Of each token, given P(w|v) of the bigrams."""
+        return np.log(_backed_off(self.count, self.context, lower[self.pair], d))[self.tri]
+
+
+class _Bigrams:
+    """The bigrams of the words v of a partition, and the words w in them."""
+
+    def __init__(self, asked: list[tuple[int, bytes]], buckets: int) -> None:
+        empty = np.zeros(0, np.uint64)
+        parts = [(empty, empty, empty)]
+        self.sources = [s for s, _ in asked]
+        for _, body in asked:
+            v, at = _from_runs(body)
+            parts.append((v, _numbers(body, len(v), at), _from_planes(body, len(v), at + 5 * len(v), 5)))
+        self.size = [len(p[0]) for p in parts[1:]]
+        v, w, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        self.pair, _, first = _count(mix(mix(v) + w * _W))
+        self.count = np.bincount(self.pair, weights=count, minlength=len(first)).astype(np.int64)
+        self.context = _count(mix(v[first]))[0]
+        self.words, self.word = np.unique(w[first], return_inverse=True)
+        self.asks = _Questions(np.arange(len(self.words)), self.words, buckets)
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        count = np.bincount(self.word, weights=self.count, minlength=len(self.words)).astype(np.int64)
+        for b, some in self.asks.asked():
+            yield b, _five(self.words[some]) + _planes(count[some], 5)
+
+    def answers(self, d: np.ndarray, lower: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """P(w|v) to those who asked, given P(w) of the words."""
+        p = _backed_off(self.count, self.context, lower[self.word], d)[self.pair]
+        at = 0
+        for source, size in zip(self.sources, self.size, strict=True):
+            yield source, p[at : at + size].tobytes()
+            at += size
+
+
+def _histogram(count: np.ndarray) -> np.ndarray:
+    """How many n-grams occur once, twice and so on, and the number of all."""
+    n = np.bincount(np.minimum(count, GT_MAX + 2), minlength=GT_MAX + 3).astype(np.int64)
+    return np.array([0, *n[1 : GT_MAX + 2], count.sum()], np.int64)
+
+
+def _backed_off(count: np.ndarray, context: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Probabilities of n-grams within their contexts, given those of the shorter model."""
+    counted = count > 0
+    kept = d[np.minimum(count, GT_MAX + 1)] * count
+    total = np.bincount(context, weights=count)
+    p = kept / _whole(total, np.bincount(context, weights=kept))[context]
+    alpha = (1 - np.bincount(context, weights=p)) / np.maximum(1 - np.bincount(context, weights=np.where(counted, lower, 0)), 1e-12)
+    alpha[total == 0] = 1
+    return np.where(counted, p, alpha[context] * lower)
+
+
+def _words(count: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+    """P(w) of words that were counted so often; those that weren't are the unknown word."""
+    n, total = histogram[: GT_MAX + 2], histogram[-1]
+    d = discounts(n)
+    used = total - ((1 - d) * np.arange(GT_MAX + 2) * n).sum()
+    of = _whole(total, used)
+    return np.where(count > 0, d[np.minimum(count, GT_MAX + 1).astype(np.int64)] * count / of, max(1 - used / of, 1e-12))
 
 
 def _whole(count: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -227,62 +376,131 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple[int, bytes]], list[int], list[bytes], np.ndarray]:
-    """A partition's documents, the batches of its blocks of tokens, the blocks, and the counts of counts if they came along."""
-    info, names, bodies, counts = [], [], [], np.zeros(GT_MAX + 2, np.int64)
+def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
     for got in batches:
-        if got.num_rows and "counts" in got.schema.names and not counts.any():
-            for c in got.column("counts")[0].as_py() or []:
-                counts[c["k"]] = c["n"]
-        for batch, kind, body in zip(*[got.column(c) for c in ("batch", "kind", "body")], strict=True):
-            if kind.as_py() == 0:
-                info.append((batch.as_py(), body.as_py()))
-            else:
-                names.append(batch.as_py())
-                bodies.append(body.as_py())
-    return info, names, bodies, counts
+        for row in zip(*[got.column(c) for c in ("bucket", "batch", "kind", "body")], strict=True):
+            *head, body = (x.as_py() for x in row)
+            yield *head, pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
 
+def _table(items: Iterable[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(list(items))])
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_prob (natural, of all tokens and the end) and perplexity under the documents' own model."""
+
+def _asked(batches: Iterable[pa.RecordBatch]) -> tuple[int, list[tuple[int, bytes]], np.ndarray]:
+    """A partition's bucket, its blocks of n-grams by who sent them, and the counts of counts of all senders."""
+    bucket, grams, counts = 0, [], np.zeros(GT_MAX + 3, np.int64)
+    for bucket, source, kind, body in _items(batches):  # noqa: B007
+        if kind == COUNTS:
+            counts += np.frombuffer(body, np.int64)
+        else:
+            grams.append((source, body))
+    return bucket, grams, counts
+
+
+def _to_all(buckets: int, source: int, counts: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    return ((b, source, COUNTS, counts.tobytes()) for b in range(buckets))
+
+
+def _open(batches: Iterable[pa.RecordBatch]) -> tuple[int, list[tuple], list[int], list[tuple[int, bytes]]]:
+    """A partition's bucket, its documents, and the batches of its blocks of tokens and these."""
+    bucket, info, names, blocks = 0, [], [], []
+    for bucket, batch, kind, body in _items(batches):  # noqa: B007
+        if kind == DOCS:
+            info.append((bucket, batch, kind, body))
+        else:
+            names.append(batch)
+            blocks.append((kind, body))
+    return bucket, info, names, blocks
+
+
+def score(docs: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, log_prob (natural, of all tokens and the end) and perplexity under the model of the ``counted`` documents, or their own."""
     buckets = partitions(docs.sparkSession)
-    blocks = _exchange(docs, buckets)
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = _Tables(_open(batches)[2]).histogram()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["k", "n"])
-
-    summed = blocks.mapInArrow(histogram, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    # one row of 7 numbers at any size, so it may be broadcast
-    counts = F.broadcast(summed.agg(F.collect_list(F.struct("k", "n")).alias("counts")))
-
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info, names, bodies, counts = _open(batches)
-        if info:
-            yield _rows([(0, batch, 0, body) for batch, body in info])
-        t = _Tables(bodies)
-        value = t.log_probs(discounts(counts))
+    sent = _blocks(docs, buckets, BOTH) if counted is None else _blocks(docs, buckets, SCORED).union(_blocks(counted, buckets, COUNTED))
+    tokens = _exchange(sent, buckets)
+
+    def ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, _, _, blocks = _open(batches)
+        if blocks:
+            t = _Trigrams(blocks, buckets)
+            yield _rows(list(_to_all(buckets, bucket, _histogram(t.count))))
+            for b, body in t.questions():
+                yield _rows([(b, bucket, GRAMS, body)])
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, asked, _ = _asked(batches)
+        if asked:
+            t = _Bigrams(asked, buckets)
+            yield _rows(list(_to_all(buckets, bucket, _histogram(t.count))))
+            for b, body in t.questions():
+                yield _rows([(b, bucket, GRAMS, body)])
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, asked, bigrams = _asked(batches)
+        if asked:
+            words, number = np.unique(np.concatenate([_numbers(x, len(x) // 10, 0) for _, x in asked]), return_inverse=True)
+            count = np.bincount(number, weights=np.concatenate([_from_planes(x, len(x) // 10, 5 * (len(x) // 10), 5) for _, x in asked]), minlength=len(words)).astype(np.int64)
+            # to every task of bigrams this task's part of the counts of counts of words, and those of bigrams to whom it answers
+            yield _rows(list(_to_all(buckets, bucket, _histogram(count))))
+            at = 0
+            for source, x in asked:
+                yield _rows([(source, bucket, GRAMS, bigrams.tobytes() + _planes(count[number[at : at + len(x) // 10]], 5))])
+                at += len(x) // 10
+
+    bigrams = _exchange(tokens.mapInArrow(ask_bigrams, _SENT), buckets)
+    words = _exchange(bigrams.mapInArrow(ask_words, _SENT), buckets)
+    word_counts = _exchange(words.mapInArrow(count_words, _SENT), buckets)
+
+    def answer_bigrams(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        bucket, asked, trigrams = _asked(asked.to_batches())
+        _, got, histogram = _asked(answers.to_batches())
+        if not asked:
+            return _table([])
+        t = _Bigrams(asked, buckets)
+        head = 8 * (GT_MAX + 3)
+        counts = t.asks.answered({b: _from_planes(x, (len(x) - head) // 5, head, 5) for b, x in got})
+        d = discounts(np.frombuffer(got[0][1], np.int64, GT_MAX + 2))
+        return _table((source, bucket, GRAMS, trigrams.tobytes() + body) for source, body in t.answers(d, _words(counts, histogram)))
+
+    def evaluate(sent: pa.Table, answers: pa.Table) -> pa.Table:
+        _, info, names, blocks = _open(sent.to_batches())
+        _, got, _ = _asked(answers.to_batches())
+        if not blocks:
+            return _table(info)
+        kinds = [k for k, _ in blocks]
+        t = _Trigrams(blocks, buckets)
+        d = discounts(np.frombuffer(got[0][1], np.int64, GT_MAX + 2))
+        value = t.log_probs(d, t.asks.answered({b: np.frombuffer(x, np.float64, offset=8 * (GT_MAX + 3)) for b, x in got}))
         at = 0
-        for batch, size in zip(names, t.size, strict=True):
-            total = np.bincount(t.place[at : at + size], weights=value[at : at + size])
-            some = np.unique(t.place[at : at + size])
-            out = np.empty(len(some), dtype=_SUM)
-            out["place"], out["sum"] = some, total[some]
+        for batch, kind, size in zip(names, kinds, t.size, strict=True):
+            if kind != COUNTED:
+                total = np.bincount(t.place[at : at + size], weights=value[at : at + size])
+                some = np.unique(t.place[at : at + size])
+                out = np.empty(len(some), dtype=_SUM)
+                out["place"], out["sum"] = some, total[some]
+                info.append((0, batch, BOTH, out.tobytes()))
             at += size
-            yield _rows([(0, batch, 1, out.tobytes())])
+        return _table(info)
+
+    def zipped(a: DataFrame, b: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+        """Both tables' rows of each bucket; they lie in one partition already."""
+        return a.groupBy("bucket").cogroup(b.groupBy("bucket")).applyInArrow(f, _SENT)
+
+    lower = _exchange(zipped(bigrams, word_counts, answer_bigrams), buckets)
+    sums = zipped(tokens, lower, evaluate)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info: dict[int, np.ndarray] = {}
         total: dict[int, np.ndarray] = {}
-        for got in batches:
-            for batch, kind, body in zip(*[c.to_pylist() for c in got.columns[1:]], strict=True):
-                if kind == 0:
-                    info[batch] = np.frombuffer(body, _INFO)
-                else:
-                    part = np.frombuffer(body, _SUM)
-                    if batch not in total:
-                        total[batch] = np.zeros(1 << 16)
-                    total[batch][part["place"]] += part["sum"]
+        for _, batch, kind, body in _items(batches):
+            if kind == DOCS:
+                info[batch] = np.frombuffer(body, _INFO)
+            else:
+                part = np.frombuffer(body, _SUM)
+                if batch not in total:
+                    total[batch] = np.zeros(1 << 16)
+                total[batch][part["place"]] += part["sum"]
         for batch, row in info.items():
             n = row["tokens"].astype(np.int64)
             value = total.get(batch, np.zeros(1 << 16))[: len(row)]
@@ -292,7 +510,6 @@ def score(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_tokens", "log_prob", "perplexity"],
             )
 
-    sums = blocks.crossJoin(counts).mapInArrow(evaluate, _SENT)
     return sums.repartition(buckets, "batch").mapInArrow(add, "doc_id bigint, n_tokens bigint, log_prob double, perplexity double")
 
 
@@ -312,14 +529,15 @@ def _trigram_counts(docs: DataFrame) -> DataFrame:
     """u, v, w and count, each trigram once."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies = _open(batches)[2]
+        bodies = [x for _, x in _open(batches)[3]]
         u, v, w = (np.concatenate([np.zeros(0, np.uint64), *[_numbers(x, len(x) // 15, c * (len(x) // 3)) for x in bodies]]) for c in range(3))
         _, count, first = _count(mix(mix(mix(v) + u * _U) + w * _W))
         for k in range(0, len(first), 1 << 16):
             some = first[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([*[pa.array(x[some].view(np.int64)) for x in (u, v, w)], pa.array(count[k : k + (1 << 16)])], names=["u", "v", "w", "count"])
 
-    return _exchange(docs, partitions(docs.sparkSession), True).mapInArrow(distinct, "u bigint, v bigint, w bigint, count bigint")
+    buckets = partitions(docs.sparkSession)
+    return _exchange(_blocks(docs, buckets, COUNTED, True), buckets).mapInArrow(distinct, "u bigint, v bigint, w bigint, count bigint")
 
 
 def model(docs: DataFrame) -> Model:
