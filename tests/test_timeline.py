@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
 import pytest
 from turnloom.operators import intervals, turns, words
@@ -129,6 +130,18 @@ def test_proposals_of_a_recording_are_placed_apart(spark):
         assert best is None or got[k] == best
 
 
+def test_a_crowded_recording_is_placed_by_a_sweep(spark):
+    """40,000 segments of one recording that reach the limit nearly everywhere: work grows with the segments, not with their pairs."""
+    n = 40_000
+    rows = spark.range(n).selectExpr("id", "DATE '2024-01-01' AS rec", "id % 4 AS speaker", "0 AS channel", "id * 10 AS start_us", "IF(id = 30000, 5L, 60L) AS dur_us").where("id not between 35001 and 35009")
+    # without 35001 to 35009, segment 34999 is the only one of others than speaker 0 from 350,040 on
+    p = spark.createDataFrame([(0, DAY, 0, 50, 20), (1, DAY, 0, 399_000, 7), (2, DAY, 9, 350_065, 30), (3, DAY, 1, 0, 0)], "proposal bigint, rec date, speaker bigint, offset_us bigint, dur_us bigint")
+    began = time.time()
+    got = {r.proposal: r.offset_us for r in intervals.place(rows, p, 2).collect()}
+    assert time.time() - began < 60
+    assert got == {0: 350_040, 1: 400_040, 2: 350_065, 3: 0}
+
+
 CUT = "cut_id string, speaker string, dur_us bigint, words array<struct<idx:int,symbol:string,start_us:bigint,dur_us:bigint>>"
 
 

@@ -54,26 +54,33 @@ def place(existing: DataFrame, proposals: DataFrame, limit: int | None) -> DataF
     """proposal, rec, offset_us: the earliest allowed start of each proposal (proposal, rec, speaker, offset_us, dur_us).
 
     The proposal itself, or the least end of an existing segment after it, at which no more than
-    ``limit`` speakers speak at once while it lasts; else behind the last segment.  Proposals are told
-    apart by ``proposal`` and don't see each other; without that column there is one a recording.
+    ``limit`` speakers speak at once while it lasts; without an offset, behind the last segment.  Proposals
+    are told apart by ``proposal`` and don't see each other; without that column there is one a recording.
+
+    The times at which the limit is reached by others than a proposal's speaker come from one sweep a
+    recording and speaker; a proposal is compared with the free times between them, not with segments.
     """
     if "proposal" not in proposals.columns:
         return place(existing, proposals.withColumn("proposal", F.col("rec")), limit).drop("proposal")
     if limit is None or limit <= 0:
         return proposals.select("proposal", "rec", "offset_us")
-    key = ["proposal", "rec"]
-    e = existing.where("dur_us > 0").select("rec", F.col("speaker").alias("e_speaker"), F.col("start_us").alias("e_start"), (F.col("start_us") + F.col("dur_us")).alias("e_end"))
-    ends = proposals.join(e, "rec").where("e_end > offset_us").select(*key, "speaker", "dur_us", F.col("e_end").alias("at"))
-    candidates = proposals.select(*key, "speaker", "dur_us", F.col("offset_us").alias("at")).union(ends).distinct()
-    # only the other speakers' intervals matter: the new one counts once either way
-    inside = candidates.join(e, "rec").where("e_start < at + dur_us and e_end > at and e_speaker <> speaker")
-    clipped = inside.select(*key, "at", F.col("e_speaker").alias("speaker"), F.greatest("e_start", "at").alias("start_us"), (F.least("e_end", F.col("at") + F.col("dur_us")) - F.greatest("e_start", "at")).alias("dur_us"))
-    merged = merge(clipped, 0, (*key, "at", "speaker"))
-    step = merged.select(*key, "at", F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("s"))
-    level = step.groupBy(*key, "at", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"))
-    run = F.sum("d").over(Window.partitionBy(*key, "at").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    peak = level.withColumn("n", run).groupBy(*key, "at").agg(F.max("n").alias("n"))
-    allowed = candidates.join(peak, [*key, "at"], "left").where(F.coalesce("n", F.lit(0)) + 1 <= limit).groupBy(*key).agg(F.min("at").alias("free_at"))
-    last = existing.groupBy("rec").agg(F.max_by(F.col("start_us") + F.col("dur_us"), F.struct("start_us", "id")).alias("last_end"))
-    out = proposals.join(allowed, key, "left").join(last, "rec", "left")
-    return out.select(*key, F.coalesce("free_at", F.greatest("offset_us", F.coalesce("last_end", F.lit(0)))).alias("offset_us"))
+    e = existing.where("dur_us > 0")
+    # who is kept out of the count is a proposal's speaker; those that are the same person share a timeline
+    asked = proposals.where("dur_us > 0").select("rec", F.col("speaker").alias("own")).distinct()
+    others = merge(e, 0, ("rec", "speaker")).join(asked, "rec").where("speaker <> own").select("rec", "own", "start_us", "end_us")
+    step = others.select("rec", "own", F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))).alias("s"))
+    level = step.groupBy("rec", "own", F.col("s.t").alias("t")).agg(F.sum("s.d").alias("d"))
+    w = Window.partitionBy("rec", "own").orderBy("t")
+    full = level.withColumn("full", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) >= limit)
+    # full times and free ones alternate; what is free before the first and after the last has no end
+    turns = full.withColumn("was", F.lag("full", 1, False).over(w)).where("full <> was")
+    ends = turns.withColumn("until", F.lead("t").over(w)).where("not full").select("rec", F.col("own").alias("speaker"), F.col("t").alias("since"), "until")
+    head = turns.where("full").groupBy("rec", "own").agg(F.min("t").alias("until")).select("rec", F.col("own").alias("speaker"), F.lit(None).cast("bigint").alias("since"), "until")
+    # a free time begins with the end of a segment, so it or the proposal is the earliest candidate within
+    at = F.greatest("offset_us", "since")
+    fits = proposals.join(ends.union(head), ["rec", "speaker"]).where(F.col("offset_us").isNotNull() & (F.col("dur_us") > 0) & (F.col("until").isNull() | (at + F.col("dur_us") <= F.col("until"))))
+    allowed = fits.groupBy("proposal", "rec").agg(F.min(at).alias("free_at"))
+    last = existing.join(proposals.where("offset_us is null").select("rec").distinct(), "rec", "left_semi").groupBy("rec").agg(F.max_by(F.col("start_us") + F.col("dur_us"), F.struct("start_us", "id")).alias("last_end"))
+    out = proposals.join(allowed, ["proposal", "rec"], "left").join(last, "rec", "left")
+    # nothing full, or nothing to place: the proposal itself
+    return out.select("proposal", "rec", F.coalesce("free_at", "offset_us", F.greatest("offset_us", F.coalesce("last_end", F.lit(0)))).alias("offset_us"))
