@@ -8,6 +8,7 @@ import time
 
 import pytest
 from turnloom.operators import intervals, turns, words
+from turnloom.plans import timeline as timeline_plans
 from turnloom.sources import rttm
 
 SEGMENT = "id bigint, rec date, speaker bigint, channel int, start_us bigint, dur_us bigint"
@@ -142,6 +143,21 @@ def test_a_crowded_recording_is_placed_by_a_sweep(spark):
     assert got == {0: 350_040, 1: 400_040, 2: 350_065, 3: 0}
 
 
+def test_sixteen_proposals_a_crowded_recording(spark, tmp_path):
+    """place_many on a day's 30,000 events that overlap throughout: the sweep's rows are those of a search."""
+    e = spark.range(30_000).selectExpr("id AS event_id", "timestamp_micros(1704067200000000 + id * 1000000) AS ts", "id AS user_id", "2.5D + id % 7 / 4 AS value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    said = [(k % 4, k * S, k * S + round((2.5 + k % 7 / 4) * S)) for k in range(30_000)]
+    zero = 1_704_067_200 * S
+    for r in timeline_plans.place_many(spark, str(tmp_path)).collect():
+        speaker, h = divmod(r.proposal, 4)
+        at, dur = speaker * S + h * 5400 * S, 30 * S * (h + 1)
+        near = [x for x in said if x[2] > min(at, r.offset_us - zero) and x[0] != speaker]
+        # crowded to the end, so the place is where one of the others falls silent for good
+        others = sorted(max(b for s, _, b in near if s == o) for o in range(4) if o != speaker) if near else []
+        assert r.offset_us - zero == max(at, others[-2]), (r, others, dur)
+
+
 CUT = "cut_id string, speaker string, dur_us bigint, words array<struct<idx:int,symbol:string,start_us:bigint,dur_us:bigint>>"
 
 
