@@ -6,6 +6,7 @@ import datetime
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -163,6 +164,27 @@ def test_images_equal_a_loop():
     assert np.allclose(audio.image_source(room, src, mic, 0.3, 4, 16000, 4096), want)
 
 
+def test_images_are_never_held_at_once():
+    """More than a million images of order 100, in the memory of a few planes."""
+    room, src, mic = np.array([5.0, 4.0, 3.0]), np.array([1.0, 3.0, 1.5]), np.array([4.0, 1.0, 1.2])
+    audio.image_source(room, src, mic, 0.3, 100, 16000)
+    tracemalloc.start()
+    h = audio.image_source(room, src, mic, 0.3, 100, 16000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and h[-1] != 0
+
+
+def test_rooms_are_made_in_many_tasks_and_only_those_wanted(spark, small):
+    """However few files the ids come in."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = room_plans._rooms(spark, small)
+    assert every.rdd.getNumPartitions() == parts and sig_plans.rir_convolve(spark, small).rdd.getNumPartitions() == parts
+    some = room_plans._rooms(spark, small, spark.range(3, 6).withColumnRenamed("id", "room_id"))
+    want = {r.room_id: r for r in every.where("room_id between 3 and 5").collect()}
+    assert {r.room_id: r for r in some.collect()} == want and len(want) == 3
+
+
 def signals(spark, rows):
     return spark.createDataFrame(list(enumerate(rows)), "sig_id bigint, x array<double>")
 
