@@ -73,6 +73,26 @@ def test_a_library_that_is_joined_gives_the_same(spark, monkeypatch):
     assert timelines(spark, SimConfig(), 15) == want
 
 
+def test_meetings_that_need_more_rounds_are_whole(spark, monkeypatch):
+    """A joined library's cuts come a few at a time; types, placement and the last utterances are those of a broadcast one."""
+    markov = ((0.4, 0.3, 0.2, 0.1), (0.2, 0.5, 0.2, 0.1), (0.3, 0.3, 0.1, 0.3), (0.5, 0.2, 0.2, 0.1))
+    config = SimConfig(max_concurrent_speakers=2, p_markov=markov)
+    want = timelines(spark, config, 15)
+    monkeypatch.setattr(simulate_module, "BROADCAST_CUTS", 3)
+    monkeypatch.setattr(simulate_module, "JOINED_STEPS", 12)
+    assert timelines(spark, config, 15) == want
+    assert max(map(len, want.values())) > 24 > 12 > 0  # three rounds
+
+
+def test_meetings_are_spread_over_tasks(spark, small):
+    """However few files their ids come in."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for config in (SimConfig(), SimConfig(max_concurrent_speakers=2)):
+        assert simulate(meetings(spark).coalesce(1), library(spark), config).rdd.getNumPartitions() == parts
+    for query in ("simulated", "simulate_concurrent", "simulate_markov", "sim_segments", "speech_levels"):
+        assert getattr(room_plans, query)(spark, small).rdd.getNumPartitions() == parts
+
+
 def test_one_speaker_always_holds(spark):
     for meeting in timelines(spark, SimConfig(min_max_spk=(1, 1)), 5).values():
         assert len({r.speaker for r in meeting}) == 1

@@ -8,19 +8,25 @@ are integer microseconds, so the result doesn't depend on the partitioning.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sampling
+from . import library as L
 from .turns import BACKCHANNEL, HOLD, INTERRUPTION, SWITCH
 
 #: Cuts of a library that is broadcast, at most.
-BROADCAST_CUTS = 5_000_000
+BROADCAST_CUTS = 12_000_000
+#: Utterances of a meeting that are joined with a larger library at first; meetings that go on get twice as many, and so on.
+JOINED_STEPS = 16
 SCHEMA = "meeting bigint, step int, speaker bigint, cut_id string, type int, start_us bigint, dur_us bigint"
 
 
@@ -68,7 +74,7 @@ def _boosted(p: tuple[float, ...], factor: float) -> tuple[float, ...]:
 
 def draw(seed: int, *key: object) -> float:
     text = "|".join(map(str, (seed, *key)))
-    return (int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+    return (int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") + 0.5) / 4294967296.0
 
 
 def peak_speakers(start: int, end: int, speaker: int, said: list[tuple[int, int, int]]) -> int:
@@ -92,32 +98,46 @@ def place_utterance(proposed: int, dur: int, speaker: int, said: list[tuple[int,
     return max(said[-1][2], proposed) if said else proposed
 
 
-def meeting_rows(meeting: int, library: dict[int, list[tuple[str, int]]], c: SimConfig) -> Iterator[tuple]:
-    """(meeting, step, speaker, cut_id, type, start_us, dur_us); type -1 for the first utterance."""
-    ranked = sorted(library, key=lambda s: (draw(c.seed, meeting, s, "rank"), s))
+def meeting_plan(meeting: int, sizes: dict[int, int], c: SimConfig) -> Iterator[int | tuple[int, int, int]]:
+    """How many speakers a meeting has, then (kind, speaker, place of the cut among the speaker's) of one utterance after another, without end.
+
+    What is said, by whom and how doesn't depend on how long the cuts are.
+    """
+    ranked = sorted(sizes, key=lambda s: (draw(c.seed, meeting, s, "rank"), s))
     low, high = c.min_max_spk
     n = min(len(ranked), low + min(int(draw(c.seed, meeting, "n") * (high - low + 1)), high - low))
     chosen = ranked[:n]
+    yield n
+    ends = lambda p: list(itertools.accumulate(p[:-1], lambda total, q: round(total + q, 12)))
+    first, after = ends(c.p_ind), None if c.p_markov is None else [ends(p) for p in c.p_markov]
+    before = kind = None
+    for step in itertools.count():
+        x = draw(c.seed, meeting, step, "type")
+        kind = sum(x >= total for total in (first if after is None or kind is None else after[kind]))
+        u = draw(c.seed, meeting, step, "spk")
+        if before is None:
+            speaker = chosen[min(int(u * n), n - 1)]
+        elif kind == HOLD or n == 1:
+            speaker = before
+        else:
+            others = [s for s in chosen if s != before]
+            speaker = others[min(int(u * len(others)), len(others) - 1)]
+        before = speaker
+        yield kind, speaker, min(int(draw(c.seed, meeting, step, "cut") * sizes[speaker]), sizes[speaker] - 1)
+
+
+def meeting_rows(meeting: int, sizes: dict[int, int], length: Callable[[int, int, int], int], c: SimConfig) -> Iterator[tuple]:
+    """(meeting, step, speaker, place of the cut, type, start_us, dur_us); type -1 for the first utterance.  ``length`` is that of (step, speaker, place)."""
+    plan = meeting_plan(meeting, sizes, c)
+    n = next(plan)
     free: dict[int, int] = {}
     said: list[tuple[int, int, int]] = []
-    before = prev_type = None
+    before = None
     step = now = 0
     while now < c.duration_us or len(free) < n:
         u = lambda what: draw(c.seed, meeting, step, what)  # noqa: B023, E731
-        p = c.p_markov[prev_type] if c.p_markov is not None and prev_type is not None else c.p_ind
-        kind, total, x = 0, 0.0, u("type")
-        for q in p[:-1]:
-            total = round(total + q, 12)
-            kind += x >= total
-        if before is None:
-            speaker = chosen[min(int(u("spk") * n), n - 1)]
-        elif kind == HOLD or n == 1:
-            speaker = before[0]
-        else:
-            others = [s for s in chosen if s != before[0]]
-            speaker = others[min(int(u("spk") * len(others)), len(others) - 1)]
-        cuts = library[speaker]
-        cut_id, dur = cuts[min(int(u("cut") * len(cuts)), len(cuts) - 1)]
+        kind, speaker, place = next(plan)
+        dur = length(step, speaker, place)
         if before is None:
             start = int(math.floor((c.start_offset + u("start") * (1.0 - c.start_offset)) * 1e6))
         else:
@@ -130,42 +150,78 @@ def meeting_rows(meeting: int, library: dict[int, list[tuple[str, int]]], c: Sim
                 start = end - int(math.floor(share * before[2]))
             start = max(start, free.get(speaker, 0))
             start = place_utterance(start, dur, speaker, said, c.max_concurrent_speakers)
-        yield meeting, step, speaker, cut_id, (-1 if before is None else kind), start, dur
+        yield meeting, step, speaker, place, (-1 if before is None else kind), start, dur
         end = start + dur
         free[speaker] = end if speaker not in free else max(end + 10_000, free[speaker])
         said.append((speaker, start, end))
-        before, prev_type, now, step = (speaker, start, dur), kind, end, step + 1
+        before, now, step = (speaker, start, dur), end, step + 1
 
 
 def simulate(meetings: DataFrame, library: DataFrame, config: SimConfig) -> DataFrame:
     """Timelines of the meetings from the cuts (speaker, cut_id, dur_us) of a library.
 
-    A library of up to BROADCAST_CUTS cuts, some 50 bytes each, goes to all tasks.  A larger one
-    is joined: each meeting gets the cuts of its own speakers.  The result is the same.
+    Meetings are spread over tasks first, as a file of their ids is small and each is much work.
+    A library of up to BROADCAST_CUTS cuts, some 20 bytes each, goes to all tasks as two arrays.  A
+    larger one is joined with the utterances.  The result is the same.
     """
-    cuts = library.select("speaker", "cut_id", "dur_us")
-    if cuts.limit(BROADCAST_CUTS + 1).count() > BROADCAST_CUTS:
-        return _simulate_joined(meetings, cuts, config)
-    rows = cuts.orderBy("speaker", "cut_id").toPandas()
-    held = meetings.sparkSession.sparkContext.broadcast({int(s): list(zip(g["cut_id"], g["dur_us"].astype(int), strict=True)) for s, g in rows.groupby("speaker")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = meetings.sparkSession
+    ids = meetings.select("meeting").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "meeting")
+    cuts = library.select("speaker", "cut_id", "dur_us").where("speaker is not null")
+    sizes = {int(r["speaker"]): int(r["n"]) for r in cuts.groupBy("speaker").agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) > BROADCAST_CUTS:
+        return _simulate_joined(ids, cuts, sizes, config)
+    rows = cuts.orderBy("speaker", "cut_id").select(F.col("cut_id").cast("string").alias("cut_id"), F.col("dur_us").cast("bigint").alias("dur_us")).toArrow()
+    order = sorted(sizes)
+    first = dict(zip(order, itertools.accumulate((sizes[s] for s in order), initial=0), strict=False))
+    held = spark.sparkContext.broadcast((rows["dur_us"].to_numpy(), rows["cut_id"].combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        durations, names = held.value
+        length = lambda step, speaker, place: int(durations[first[speaker] + place])
         for batch in batches:
-            yield _frame(r for m in batch["meeting"] for r in meeting_rows(int(m), held.value, config))
-
-    return meetings.select("meeting").mapInPandas(run, SCHEMA)
-
-
-def _frame(rows: Iterable[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["meeting", "step", "speaker", "cut_id", "type", "start_us", "dur_us"])
-
-
-def _simulate_joined(meetings: DataFrame, cuts: DataFrame, config: SimConfig) -> DataFrame:
-    chosen = sampling.speakers(meetings, cuts, config.seed, *config.min_max_spk).select("meeting", "speaker")
-    own = cuts.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("cut_id", "dur_us"))).alias("cuts"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        library = {int(s): [(c["cut_id"], int(c["dur_us"])) for c in cuts] for s, cuts in zip(rows["speaker"], rows["cuts"], strict=True)}
-        return _frame(meeting_rows(int(key[0]), library, config))
-
-    return chosen.join(own, "speaker").groupBy("meeting").applyInPandas(run, SCHEMA)
+            said = batch.column(0).to_pylist()
+            for at in range(0, len(said), 1024):
+                columns = list(zip(*(r for m in said[at : at + 1024] for r in meeting_rows(int(m), sizes, length, config)), strict=True)) or [[]] * 7
+                places = pa.array((first[s] + k for s, k in zip(columns[2], columns[3], strict=True)), pa.int64())
+                yield _batch([*columns[:3], names.take(places), *columns[4:]])
+
+    return ids.mapInArrow(run, SCHEMA)
+
+
+def _batch(columns: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+    arrays = [c.cast(k) if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["meeting", "step", "speaker", "cut_id", "type", "start_us", "dur_us"])
+
+
+def _simulate_joined(ids: DataFrame, cuts: DataFrame, sizes: dict[int, int], config: SimConfig) -> DataFrame:
+    """Utterances are planned, then joined with their cuts by place, then put in time; a meeting that isn't over by then is planned further."""
+    index = L.cut_index(cuts).withColumn("cut_id", F.col("cut_id").cast("string"))
+    steps, done = JOINED_STEPS, None
+    while True:
+        def plan(batches: Iterator[pd.DataFrame], steps: int = steps) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), 1024):
+                    rows = [(m, k, *r[1:]) for m in b["meeting"][at : at + 1024] for k, r in enumerate(itertools.islice(meeting_plan(int(m), sizes, config), 1, steps + 1))]
+                    yield pd.DataFrame(rows, columns=["meeting", "step", "speaker", "pos"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    out = []
+                    for m, own in zip(*(c.to_pylist() for c in b.slice(at, 1024).columns), strict=True):
+                        try:
+                            out += [(*r[:3], own[r[1]]["cut_id"], *r[4:]) for r in meeting_rows(m, sizes, lambda step, *_: own[step]["dur_us"], config)]  # noqa: B023
+                        except IndexError:
+                            out.append((m, -1, None, None, None, None, None))
+                    yield _batch(list(zip(*out, strict=True)) or [[]] * 7)
+
+        planned = ids.mapInPandas(plan, "meeting bigint, step int, speaker bigint, pos bigint")
+        own = planned.join(index, ["speaker", "pos"]).groupBy("meeting").agg(F.array_sort(F.collect_list(F.struct("step", "cut_id", "dur_us"))).alias("own"))
+        rows = own.mapInArrow(run, SCHEMA).persist(StorageLevel.DISK_ONLY)
+        whole = rows.where("step >= 0")
+        done = whole if done is None else done.union(whole)
+        ids = rows.where("step < 0").select("meeting")
+        if ids.isEmpty():
+            return done
+        steps *= 2
