@@ -101,6 +101,23 @@ def test_overlap_pairs(spark, bucket):
     assert got == want
 
 
+def test_segments_that_overlap_move_once(spark, monkeypatch):
+    """Buckets that span batches and blocks of pairs, equal ids, times before zero; one exchange of segments."""
+    rng = random.Random(4)
+    rows = [(k if k % 50 else 0, datetime.date(2024, 1, 1 + k % 2), 0, 0, rng.randrange(-300, 300), rng.randrange(0, 40)) for k in range(600)]
+    df = spark.createDataFrame(rows, SEGMENT)
+    monkeypatch.setattr(intervals, "PAIRS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = intervals.overlaps(df, 64)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        found = sorted((r.rec, r.a, r.b, r.overlap_us) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(p[1], p[0], q[0], min(p[4] + p[5], q[4] + q[5]) - max(p[4], q[4])) for p in rows for q in rows if p[1] == q[1] and p[0] < q[0] and p[5] > 0 and q[5] > 0 and p[4] < q[4] + q[5] and q[4] < p[4] + p[5]]
+    assert found == sorted(want)
+
+
 def most(rows, at, dur, speaker):
     return max(len({s for s, a, d in rows if a <= t < a + d} | {speaker}) for t in range(at, at + dur))
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Overlapping pairs that are made at once, besides those of one segment.
+PAIRS = 1 << 18
+
 
 def merge(segments: DataFrame, gap_us: int = 200_000, keys: tuple[str, ...] = ("rec", "speaker", "channel")) -> DataFrame:
     """Intervals of the same keys at most ``gap_us`` apart as one: keys, start_us, end_us, parts."""
@@ -19,18 +27,65 @@ def merge(segments: DataFrame, gap_us: int = 200_000, keys: tuple[str, ...] = ("
 def overlaps(segments: DataFrame, bucket_us: int | None = None) -> DataFrame:
     """Pairs of segments of a recording that overlap: rec, a, b, overlap_us.
 
-    A range join by time buckets: a segment is in every bucket that it touches, and a pair counts
-    in the bucket where it begins, so each pair is found once and no recording is a cross product.
+    A segment is in every time bucket that it touches, and a pair counts in the bucket where it
+    begins, so each pair is found once.  In a bucket's order of starts, those that begin before a
+    segment ends are the next ones, so nothing but pairs is made, some at a time.  Segments move once.
     """
     bucket_us = bucket_us or 300_000_000
-    s = segments.withColumn("end_us", F.col("start_us") + F.col("dur_us")).where("dur_us > 0")
-    first, last = F.floor(F.col("start_us") / bucket_us), F.floor((F.col("end_us") - 1) / bucket_us)
-    spread = s.select("rec", "id", "start_us", "end_us", F.explode(F.sequence(first, last)).alias("bucket"))
-    a = spread.select("rec", "bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "start_us", "end_us")])
-    b = spread.select("rec", "bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "start_us", "end_us")])
-    both = a.join(b, ["rec", "bucket"]).where("a_id < b_id and a_start_us < b_end_us and b_start_us < a_end_us")
-    begin, end = F.greatest("a_start_us", "b_start_us"), F.least("a_end_us", "b_end_us")
-    return both.where(F.floor(begin / bucket_us) == F.col("bucket")).select("rec", F.col("a_id").alias("a"), F.col("b_id").alias("b"), (end - begin).alias("overlap_us"))
+    bucket = lambda t: F.expr(f"({t} - pmod({t}, {bucket_us}L)) div {bucket_us}L")
+    s = segments.where("dur_us > 0 AND id IS NOT NULL AND rec IS NOT NULL AND start_us IS NOT NULL").selectExpr("rec", "id", "start_us", "start_us + dur_us AS end_us")
+    spread = s.withColumn("bucket", F.explode(F.sequence(bucket("start_us"), bucket("(end_us - 1)"))))
+    parts = max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of whole buckets."""
+        rec, number, ids, start, end = rows.column("rec").combine_chunks(), *(rows.column(c).to_numpy() for c in ("bucket", "id", "start_us", "end_us"))
+        new = _changes(rows)
+        group = np.cumsum(new)
+        low = number * bucket_us
+        # starts on one axis, bucket after bucket; those that begin before theirs are its first
+        base = group * (bucket_us + 1)
+        at, until = base + np.maximum(start - low, 0), base + np.minimum(end - low, bucket_us)
+        own = np.searchsorted(group, np.arange(1, group[-1] + 1)) + np.bincount(group - 1, weights=start < low).astype(np.int64)
+        lo = np.maximum(np.arange(len(at)) + 1, own[group - 1])
+        count = np.maximum(np.searchsorted(at, until) - lo, 0)
+        total = np.concatenate(([0], np.cumsum(count)))
+        first = 0
+        while first < len(count):
+            last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, side="right")) - 1)
+            n = count[first:last]
+            x = np.repeat(np.arange(first, last), n)
+            y = np.arange(len(x)) - np.repeat(total[first:last] - total[first] - lo[first:last], n)
+            differ = ids[x] != ids[y]
+            x, y, first = x[differ], y[differ], last
+            if len(x):
+                yield pa.RecordBatch.from_arrays([rec.take(pa.array(x)), pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(np.minimum(end[x], end[y]) - start[y])], names=["rec", "a", "b", "overlap_us"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            # the last bucket may go on in the next batch
+            news = np.flatnonzero(_changes(pa.Table.from_batches([held[0].slice(held[0].num_rows - 1), b] if len(held) > 1 else [b]))[1:])
+            if len(news):
+                here = int(news[-1]) + (len(held) == 1)
+                yield from pairs(pa.Table.from_batches([*held[:-1], b.slice(0, here)]))
+                held = [b.slice(here)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    rows = spread.select("rec", "bucket", "id", "start_us", "end_us").repartition(parts, "rec", "bucket").sortWithinPartitions("rec", "bucket", "start_us")
+    return rows.mapInArrow(run, f"rec {segments.schema['rec'].dataType.simpleString()}, a bigint, b bigint, overlap_us bigint")
+
+
+def _changes(rows: pa.Table) -> np.ndarray:
+    """Whether each row has another recording or bucket than the one before; the first has."""
+    new = np.ones(rows.num_rows, bool)
+    for c in ("rec", "bucket"):
+        x = rows.column(c).combine_chunks()
+        changed = pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+        new[1:] = changed if c == "rec" else new[1:] | changed
+    return new
 
 
 def concurrency(segments: DataFrame) -> DataFrame:
