@@ -38,6 +38,30 @@ def test_utterances_are_levelled_and_placed(spark):
     assert row.offset == 8000 and np.allclose(row.x, [-0.1, 0.1])
 
 
+def test_chunks_are_added_in_a_stream(spark, monkeypatch):
+    """No group is called on its own; chunks that span batches are whole, however few samples leave together."""
+    rng = np.random.default_rng(2)
+    parts = [(m, stem, int(rng.integers(0, 90)), rng.normal(size=int(rng.integers(0, 60))).tolist()) for m in range(5) for stem in "ab" for _ in range(9)]
+    df = spark.createDataFrame(parts, "meeting bigint, stem string, offset bigint, x array<double>")
+    monkeypatch.setattr(render, "SAMPLES", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        chunks = render.mix_chunks(df, ["meeting", "stem"], 16)
+        assert "FlatMapGroups" not in chunks._jdf.queryExecution().executedPlan().toString()
+        rows = chunks.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for m, stem, at, x in parts:
+        want.setdefault((m, stem), np.zeros(160))[at : at + len(x)] += x
+    assert len({(r.meeting, r.stem, r.chunk) for r in rows}) == len(rows)
+    for r in rows:
+        assert np.allclose(want[r.meeting, r.stem][r.chunk * 16 : r.chunk * 16 + len(r.x)], r.x)
+        want[r.meeting, r.stem][r.chunk * 16 : r.chunk * 16 + len(r.x)] = 0
+    assert not any(x.any() for x in want.values())
+
+
+
 def test_settings():
     c = config.from_words(["duration=240", "n_meetings=5", "min_max_spk=[3,3]", "hmm_params.p_ind=[0.1,0.2,0.3,0.4]", "hmm_params.beta_bc=0.5", "save_rttm=true", "n_jobs=8", "noise_folders=/a", "boost_overlap_factor=null"])
     assert c.sim.duration_us == 240_000_000 and c.sim.min_max_spk == (3, 3) and c.sim.p_ind == (0.1, 0.2, 0.3, 0.4) and c.sim.betas[3] == 0.5

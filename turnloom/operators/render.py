@@ -13,13 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import between, pick, uniform
 from . import sampling, signal
+from .audio import lists
 
 CHUNK = 160_000
+#: Samples of chunks that leave a task together, besides the last chunk.
+SAMPLES = 1 << 20
 MIX = "mix"
 
 
@@ -57,15 +61,38 @@ def mix_chunks(parts: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFra
     high = F.least((F.col("chunk") + 1) * chunk - F.col("offset"), F.size("x"))
     cut = at.select(*keys, "chunk", (F.greatest("offset", F.col("chunk") * chunk) - F.col("chunk") * chunk).alias("place"), F.slice("x", (low + 1).cast("int"), (high - low).cast("int")).alias("x"))
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place", kind="stable")
-        out = np.zeros(int((rows["place"] + rows["x"].map(len)).max()))
-        for place, x in zip(rows["place"], rows["x"], strict=True):
-            out[place : place + len(x)] += np.asarray(x)
-        return pd.DataFrame([[*key, out.tolist()]], columns=[*keys, "chunk", "x"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, whole, size = None, np.zeros(0), [], 0
+        kinds: list[pa.DataType] = []
+
+        def take() -> pa.RecordBatch:
+            names = [pa.array(c, k) for c, k in zip(zip(*(k for k, _ in whole), strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*names, lists([x for _, x in whole])], names=[*keys, "chunk", "x"])
+
+        for b in batches:
+            kinds = [b.schema.field(k).type for k in (*keys, "chunk")]
+            column = b.column(b.schema.get_field_index("x"))
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            own = zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in (*keys, "chunk")), strict=True)
+            for k, place, a, z in zip(own, b.column(b.schema.get_field_index("place")).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if k != key:
+                    if key is not None:
+                        whole.append((key, out))
+                        size += len(out)
+                        if size >= SAMPLES:
+                            yield take()
+                            whole, size = [], 0
+                    key, out = k, np.zeros(0)
+                if place + z - a > len(out):
+                    out = np.concatenate((out, np.zeros(place + z - a - len(out))))
+                out[place : place + z - a] += values[a:z]
+        if key is not None:
+            whole.append((key, out))
+            yield take()
 
     fields = ", ".join(f"{k} {dict(parts.dtypes)[k]}" for k in keys)
-    return cut.groupBy(*keys, "chunk").applyInPandas(add, f"{fields}, chunk bigint, x array<double>")
+    # one chunk after another, in batches of many
+    return cut.repartition(*keys, "chunk").sortWithinPartitions(*keys, "chunk", "place").mapInArrow(add, f"{fields}, chunk bigint, x array<double>")
 
 
 def guard(chunks: DataFrame, key: str, limit: float = 0.99) -> DataFrame:
@@ -95,8 +122,9 @@ def voices(timeline: DataFrame, signals: DataFrame, c: RenderConfig, responses:
     signal and its length.
     """
     offset = F.floor(F.col("start_us") * c.rate / 1_000_000)
-    u = timeline.select("meeting", "step", F.col("speaker").cast("string").alias("speaker"), "cut_id", offset.alias("offset"))
-    u = u.join(sampling.levels(timeline, c.seed, c.base_gain, c.rel_gain), ["meeting", "step"]).join(signals.select("cut_id", "x"), "cut_id")
+    level = sampling.level(c.seed, c.base_gain, c.rel_gain).alias("level_db")
+    u = timeline.where("meeting IS NOT NULL AND step IS NOT NULL").select("meeting", "step", F.col("speaker").cast("string").alias("speaker"), "cut_id", offset.alias("offset"), level)
+    u = u.join(signals.select("cut_id", "x"), "cut_id")
     if responses is not None and c.reverb_prob > 0:
         # rooms and positions by their place in order, so that the draws don't depend on the names
         place = F.row_number().over(Window.partitionBy("room_id").orderBy("position")) - 1

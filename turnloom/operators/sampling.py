@@ -68,11 +68,16 @@ def sample_cuts(draws: DataFrame, index: DataFrame, seed: int) -> DataFrame:
     return at.join(index, ["speaker", "pos"]).select("id", "speaker", "pos", "cut_id", "dur_us")
 
 
-def levels(utterances: DataFrame, seed: int, base: tuple[float, float], relative: tuple[float, float]) -> DataFrame:
-    """meeting, step, level_db: a level a meeting plus one an utterance."""
+def level(seed: int, base: tuple[float, float], relative: tuple[float, float]) -> Column:
+    """Of an utterance (meeting, step): a level a meeting plus one an utterance."""
     b = between(uniform(seed, "meeting", F.lit("base")), *base)
     r = between(uniform(seed, "meeting", "step", F.lit("rel")), *relative)
-    return utterances.select("meeting", "step", F.round(b + r, 6).alias("level_db"))
+    return F.round(b + r, 6)
+
+
+def levels(utterances: DataFrame, seed: int, base: tuple[float, float], relative: tuple[float, float]) -> DataFrame:
+    """meeting, step, level_db of utterances."""
+    return utterances.select("meeting", "step", level(seed, base, relative).alias("level_db"))
 
 
 def flags(meetings: DataFrame, seed: int, reverb: float, noise: float) -> DataFrame:
